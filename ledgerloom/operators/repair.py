@@ -49,10 +49,11 @@ def orphan_rows(child: DataFrame, parent: DataFrame, column: str, strict: bool =
 
 
 def orphans(tables: dict[str, DataFrame], rules: tuple[Rule, ...] = RULES, touched: set[str] | None = None, strict: bool = False) -> DataFrame:
-    """(rule, n) for every rule whose tables are given; touched limits the scan to those child tables."""
+    """(rule, n) for every rule whose tables and column are given; touched limits the scan to those child tables."""
     parts = []
     for rule in rules:
-        if rule.child in tables and rule.parent in tables and (touched is None or rule.child in touched):
+        given = rule.child in tables and rule.parent in tables and rule.column in tables[rule.child].columns
+        if given and (touched is None or rule.child in touched):
             rows = orphan_rows(tables[rule.child], tables[rule.parent], rule.column, strict)
             parts.append(rows.agg(F.count("*").alias("n")).select(F.lit(f"{rule.child}.{rule.column}").alias("rule"), "n"))
     if not parts:
