@@ -60,12 +60,25 @@ def idf(files: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float], floa
     return {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in vocabulary}, math.log(1 + n) + 1
 
 
+def heavier(share: dict[str, float], limit: float) -> set[str]:
+    """Terms left when the lightest ones whose shares sum to less than the limit are taken away."""
+    found, total = set(share), 0.0
+    for t in sorted(share, key=lambda t: (share[t], t)):
+        total += share[t]
+        if total >= limit:
+            break
+        found.discard(t)
+    return found
+
+
 def own_licence(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.6) -> DataFrame:
     """files (path, text and any others) with own_license and own_score, null where no block reaches the least cosine;
     equal scores go to the first name.
 
     Blocks are first held against a bound: the cosine with a template is at most the norm of the shared terms' part of
-    the template over the template's norm (Cauchy and Schwarz), so only blocks that may match are scored in full.
+    the template over the template's norm (Cauchy and Schwarz). A template's lightest terms together stay below the
+    threshold, so a file or block without any of the heavier ones can't match; of the others only blocks that may match
+    by the bound are scored in full.
     """
     wanted = template_terms(templates)
     vocabulary = sorted({t for c in wanted.values() for t in c})
@@ -81,6 +94,8 @@ def own_licence(files: DataFrame, templates: dict[str, str] = TEMPLATES, least:
 
     share = {k: {t: (n * weights[t] / norms[k]) ** 2 for t, n in c.items()} for k, c in wanted.items()}
 
+    heavy = F.array(*map(F.lit, sorted({t for terms_of in share.values() for t in heavier(terms_of, least * least - 1e-9)})))
+
     def may_match(shared: Column) -> Column:
         return F.greatest(*[total(shared, s) for s in share.values()]) >= least * least - 1e-9 if len(share) > 1 else total(shared, *share.values()) >= least * least - 1e-9
 
@@ -109,7 +124,9 @@ def own_licence(files: DataFrame, templates: dict[str, str] = TEMPLATES, least:
         return F.array(*[F.struct(F.round(dot(c) / (norm * norms[k]), DECIMALS).alias("score"), F.lit(k).alias("name")) for k, c in wanted.items()])
 
     whole = F.when(F.col("path").rlike(LICENCE_FILE), F.array(F.coalesce(F.col("text"), F.lit("")))).otherwise(F.array().cast("array<string>"))
-    blocks = F.filter(F.concat(lines(F.col("text")), whole), lambda b: may_match(F.array_intersect(terms(b), known)))
+    some = F.arrays_overlap(terms(F.coalesce("text", F.lit(""))), heavy)
+    likely_blocks = F.filter(F.concat(lines(F.col("text")), whole), lambda b: F.arrays_overlap(terms(b), heavy))
+    blocks = F.when(some, F.filter(likely_blocks, lambda b: may_match(F.array_intersect(terms(b), known)))).otherwise(F.array().cast("array<string>"))
     likely = files.withColumn("_blocks", blocks)
     scores = F.flatten(F.transform("_blocks", scored))
     ahead = lambda a, b: F.when((b["score"] > a["score"]) | (b["score"] == a["score"]) & (b["name"] < a["name"]), b).otherwise(a)
