@@ -24,6 +24,8 @@ _LETTER: np.ndarray | None = None
 UNKNOWN = "und"
 #: Characters of a text that are scored at once.
 PIECE = 1 << 18
+#: More languages than this are an error: the model has a column for each.
+MOST_LANGS = 1000
 
 
 def symbols(text: str) -> np.ndarray:
@@ -181,7 +183,8 @@ class Model:
 
     def calibrate(self, langs: list[str], sizes: np.ndarray, entropy: np.ndarray, margin: float) -> None:
         """The scale by least log-loss, and by language and length the largest cross-entropy that is accepted: the
-        largest that the rows of that length or longer reached, and the margin; of too few rows the language's all."""
+        largest that the rows of that length or longer reached, and the margin; of too few rows the language's all, of
+        none all languages'."""
         truth = np.array([self.langs.index(k) for k in langs], int)
         some = sizes > 0
         best = np.inf
@@ -190,14 +193,16 @@ class Model:
             loss = (np.log(np.exp(z).sum(axis=1)) - z[np.arange(truth.size), truth])[some].mean() if some.any() else 0.0
             if loss < best:
                 best, self.scale = loss, scale
-        self.limits = np.full((len(self.langs), 8), np.inf)
+        own_entropy = entropy[np.arange(truth.size), truth]
+        everyone = own_entropy[some].max() + margin if some.any() else np.inf
+        self.limits = np.full((len(self.langs), 8), everyone)
         for i in range(len(self.langs)):
             own = some & (truth == i)
             if not own.any():
                 continue
             for b in range(8):
                 rows = own & (self.bins(sizes) >= b)
-                self.limits[i, b] = entropy[rows if rows.sum() >= 30 else own, i].max() + margin
+                self.limits[i, b] = own_entropy[rows if rows.sum() >= 30 else own].max() + margin
 
 
 def remainder(doc_id: Column) -> Column:
@@ -212,8 +217,13 @@ def train(docs: DataFrame, rows_per_lang: int = 1500, margin: float = 1.0) -> Mo
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id")) != 0))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    few = labelled.withColumn("place", place).join(sizes, "lang").where(F.col("place") * F.col("n") < rows_per_lang * 1.0)
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    if not sizes:
+        return Model.fit({})
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], rows_per_lang / r["n"])])
+    few = labelled.withColumn("place", place).where(F.col("place") < F.element_at(share, F.col("lang")))
     few = staged(few.select("doc_id", "lang", "text", "place"), "langid-sample")
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "text")))
     few = ranked.where(F.col("rank") <= rows_per_lang).select("lang", "text", (F.col("rank") % 4 == 0).alias("held"))
