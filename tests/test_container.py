@@ -1,0 +1,72 @@
+"""Containers and keys against published and known values."""
+
+import pytest
+
+from ledgerloom.functions import crypto
+from ledgerloom.sources import container
+
+SALT, PREFIX = bytes.fromhex("101112131415161718191a1b1c1d1e1f"), bytes.fromhex("a0a1a2a3a4a5a6a7")
+#: A container of one chunk, sealed elsewhere.
+KNOWN = bytes.fromhex("5046424f4f4b0100000100010005010100004c000000000201200010000800010000000000000035000000010f01b8f6101112131415161718191a1b1c1d1e1fa0a1a2a3a4a5a6a7a0a1a2a3a4a5a6a700000000000102030405060700010001000000000000000000000000000000000000000000000000000000000000000000000045a0a1a2a3a4a5a6a70000000004d23a3df8d0f0174eb7a6762619d13a15e4c86ac033e50e84e4484f7b74a40795a1434f245f699d2ffa7e6a8f5dea67a4309f7c10f91ab1a3c12960fc05972f17daa93d6769cc566542ed1425e4f416ad01798399634ab8d53d63d38775eb2c7645aaa100")
+PAYLOAD = bytes.fromhex("7b2274797065223a226c6564676572222c226964223a2230314a38544553544c454447455230303030303030303030303031227d0a")
+
+
+def test_hkdf():
+    prk = crypto.hkdf_extract(bytes(range(13)), bytes([11]) * 22)
+    assert prk.hex() == "077709362c2e32df0ddc3f0dc47bba6390b6c73bb50f9c3122ec844ad7c2b3e5"
+    assert crypto.hkdf_expand(prk, bytes(range(0xF0, 0xFA)), 42).hex() == "3cb25f25faacd57a90434f64d0362f2a2d2d0a90cf1a5a4c5db02d56ecc4c5bf34007208d5b887185865"
+    assert crypto.data_key(bytes(range(32))).hex() == "1b5494c6011ba9318d4b9e30c9552693eacbae45adb3e95178157393405d49e0"
+    with pytest.raises(ValueError):
+        crypto.hkdf_expand(prk, b"", 8161)
+
+
+def test_argon2id():
+    """The test vector of RFC 9106."""
+    got = crypto.argon2id(bytes([1]) * 32, bytes([2]) * 16, 32, 3, 4, 32, bytes([3]) * 8, bytes([4]) * 12, bounded=False)
+    assert got.hex() == "0d640df58d78766c08c037a34a8b53c9d01ef0452d75b65eb52520e96b01e659"
+    with pytest.raises(ValueError):
+        crypto.argon2id(b"x", bytes(16), 1024, 2, 1)
+
+
+def test_known_container(spark):
+    key = crypto.argon2id(b"pfb-vector-pass-1", SALT, 19456, 2, 1)
+    header, chunks = container.layout(KNOWN)
+    assert len(chunks) == 1 and container.intact(KNOWN) and header.encode() == KNOWN[:128]
+    assert container.open_file(spark, KNOWN, key) == PAYLOAD
+    assert container.seal(spark, PAYLOAD, key, header) == KNOWN
+    with pytest.raises(container.ContainerError, match="wrong key"):
+        container.open_file(spark, KNOWN, bytes(32))
+
+
+@pytest.mark.parametrize("n", [0, 1, 1024, 2500])
+def test_round_trip(spark, n, tmp_path):
+    header = container.Header(SALT, PREFIX, 0, 0, chunk_kib=1)
+    key, payload = bytes(range(32)), bytes(i * i % 251 for i in range(n))
+    file = container.seal(spark, payload, key, header)
+    assert container.open_file(spark, file, key) == payload
+    assert container.export(spark, payload, key, header) != file
+    (tmp_path / "a").write_bytes(file)
+    (tmp_path / "b").write_bytes(file[:-1] + bytes([file[-1] ^ 1]))
+    rows = {r["path"][-1]: r for r in container.inspect(spark, str(tmp_path)).collect()}
+    assert rows["a"]["header_ok"] and rows["a"]["digest_ok"] and rows["a"]["plaintext_length"] == n
+    assert rows["b"]["header_ok"] and not rows["b"]["digest_ok"]
+
+
+def test_damage(spark):
+    header = container.Header(SALT, PREFIX, 0, 0, chunk_kib=1)
+    file = container.seal(spark, bytes(3000), bytes(32), header)
+    for bad in (file[:-1], file + b"x", file[:100], b"x" + file[1:], file[:130] + b"\x01" + file[131:]):
+        with pytest.raises(container.ContainerError):
+            container.open_file(spark, bad, bytes(32))
+    with pytest.raises(container.ContainerError, match="limit"):
+        container.inflated(container.deflated(bytes(10**6)), ratio=10)
+
+
+def test_key_hierarchy(spark):
+    key, nonce = bytes(range(32)), bytes(12)
+    block = crypto.seal_key_check(spark, key, nonce, "install")
+    crypto.verify_key_check(spark, key, block)
+    with pytest.raises(crypto.AuthenticationError):
+        crypto.verify_key_check(spark, bytes(32), block)
+    wrapped = crypto.wrap_master_key(spark, key, bytes([7]) * 32, nonce)
+    assert crypto.unwrap_master_key(spark, key, wrapped) == bytes([7]) * 32
