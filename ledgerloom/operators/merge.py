@@ -17,7 +17,7 @@ DELETE_EDIT = ("conflict", "edit_wins_by_lww")
 #: Fixed value: edits less than this many milliseconds apart are ambiguous.
 SKEW_MS = 60_000
 #: The order in which record types are written.
-STAGES = ("ledger", "account", "category", "tag", "theme_profile", "txn", "budget", "attachment")
+STAGES = ("ledger", "account", "category", "tag", "theme", "txn", "budget", "attachment")
 META = ("updated_at", "device_id", "content_hash", "deleted_at")
 
 

@@ -68,8 +68,10 @@ def placeholder_accounts(txns: DataFrame, accounts: DataFrame, device_id: str, a
     """An archived account for every id that transactions or repayments name and nobody has: one an id, currency that
     of the first reference by (txn id, column)."""
     moved = txns.select(F.explode(F.array(F.struct(F.lit("account_id").alias("via"), F.col("account_id").alias("ref")), F.struct(F.lit("to_account_id").alias("via"), F.col("to_account_id").alias("ref")))).alias("x"), "ledger_id", "currency", F.col("id").alias("by"), F.lit(1).alias("rank"))
-    repaid = accounts.select(F.struct(F.lit("repay_account_id").alias("via"), F.col("repay_account_id").alias("ref")).alias("x"), "ledger_id", "currency", F.col("id").alias("by"), F.lit(0).alias("rank"))
-    named = moved.unionByName(repaid).select("x.ref", "x.via", "ledger_id", "currency", "by", "rank").where("ref is not null")
+    named = moved
+    if "repay_account_id" in accounts.columns:
+        named = named.unionByName(accounts.select(F.struct(F.lit("repay_account_id").alias("via"), F.col("repay_account_id").alias("ref")).alias("x"), "ledger_id", "currency", F.col("id").alias("by"), F.lit(0).alias("rank")))
+    named = named.select("x.ref", "x.via", "ledger_id", "currency", "by", "rank").where("ref is not null")
     lost = named.join(accounts.select(F.col("id").alias("ref")), "ref", "left_anti")
     first = lost.groupBy("ref").agg(F.min(F.struct("rank", "by", "via", "ledger_id", "currency")).alias("f"))
     return first.select(

@@ -57,8 +57,8 @@ SPECS = {
         Spec("account", (Field("id", "id", "text"), Field("ledgerId", "ledger_id", "text"), Field("name", "name", "text"), Field("accountType", "type", "integer", allowed=(1, 2, 3, 4, 5)), Field("currency", "currency", "text"), Field("openingBalanceMinor", "opening_balance_minor", "amount", False, 0), Field("creditLimitMinor", "credit_limit_minor", "amount", False), Field("statementDay", "statement_day", "integer", False), Field("dueDay", "due_day", "integer", False), Field("repayAccountId", "repay_account_id", "text", False), Field("icon", "icon", "text", False), Field("color", "color", "text", False), Field("isArchived", "is_archived", "flag", False, 0), Field("sortOrder", "sort_order", "integer", False, 0), Field("note", "note", "text", False), *COMMON)),
         Spec("category", (Field("id", "id", "text"), Field("ledgerId", "ledger_id", "text"), Field("parentId", "parent_id", "text", False), Field("kind", "kind", "integer", allowed=(1, 2)), Field("name", "name", "text"), Field("icon", "icon", "text", False), Field("color", "color", "text", False), Field("isSystem", "is_system", "flag", False, 0), Field("isHidden", "is_hidden", "flag", False, 0), Field("sortOrder", "sort_order", "integer", False, 0), *COMMON)),
         Spec("tag", (Field("id", "id", "text"), Field("ledgerId", "ledger_id", "text"), Field("name", "name", "text"), Field("color", "color", "text", False), *COMMON)),
-        Spec("theme_profile", (Field("id", "id", "text"), Field("name", "name", "text"), Field("spec", "spec_json", "object"), Field("isActive", "is_active", "flag", False, 0), *COMMON)),
-        Spec("txn", (Field("id", "id", "text"), Field("ledgerId", "ledger_id", "text"), Field("txnType", "type", "integer", allowed=(1, 2, 3)), Field("amountMinor", "amount_minor", "amount"), Field("currency", "currency", "text"), Field("occurredAt", "occurred_at", "integer"), Field("dayKey", "day_key", "text"), Field("monthKey", "month_key", "text"), Field("tzOffsetMin", "tz_offset_min", "integer"), Field("accountId", "account_id", "text"), Field("toAccountId", "to_account_id", "text", False), Field("categoryId", "category_id", "text", False), Field("merchant", "merchant", "text", False), Field("note", "note", "text", False), Field("tags", "tags", "ids", False), Field("feeMinor", "fee_minor", "amount", False, 0), Field("isReimbursable", "is_reimbursable", "flag", False, 0), Field("excludedFromStats", "excluded_from_stats", "flag", False, 0), *COMMON)),
+        Spec("theme", (Field("id", "id", "text"), Field("name", "name", "text"), Field("spec", "spec_json", "object"), Field("isActive", "is_active", "flag", False, 0), *COMMON)),
+        Spec("txn", (Field("id", "id", "text"), Field("ledgerId", "ledger_id", "text"), Field("txnType", "type", "integer", allowed=(1, 2, 3)), Field("amountMinor", "amount_minor", "amount"), Field("currency", "currency", "text"), Field("occurredAt", "occurred_at", "integer"), Field("dayKey", "day_key", "text"), Field("monthKey", "month_key", "text"), Field("tzOffsetMin", "tz_offset_min", "integer"), Field("accountId", "account_id", "text"), Field("toAccountId", "to_account_id", "text", False), Field("categoryId", "category_id", "text", False), Field("merchant", "merchant", "text", False), Field("note", "note", "text", False), Field("tags", "tags", "ids", False), Field("feeMinor", "fee_minor", "amount", False, 0), Field("isReimbursable", "is_reimbursable", "flag", False, 0), Field("excludedFromStats", "excluded_from_stats", "flag", False, 0), Field("originDeviceId", "origin_device_id", "text", False), *COMMON)),
         Spec("budget", (Field("id", "id", "text"), Field("ledgerId", "ledger_id", "text"), Field("periodType", "period_type", "integer", allowed=(1, 2)), Field("periodKey", "period_key", "text"), Field("scope", "scope", "integer", allowed=(1, 2)), Field("categoryId", "category_id", "text", False), Field("amountMinor", "amount_minor", "amount"), Field("currency", "currency", "text"), Field("rollover", "rollover", "flag", False, 0), Field("alertBp", "alert_bp", "integer", False, 8000), *COMMON)),
         Spec("attachment", (Field("id", "id", "text"), Field("ledgerId", "ledger_id", "text"), Field("txnId", "txn_id", "text", False), Field("fileName", "file_name", "text"), Field("mime", "mime", "text"), Field("sizeBytes", "size_bytes", "integer"), Field("sha256", "sha256", "text"), Field("storage", "storage", "integer", allowed=(1, 2)), Field("dataB64", "data", "bytes", False), Field("extRelPath", "ext_rel_path", "text", False), Field("wrappedDek", "wrapped_dek", "bytes", False), Field("dekNonce", "dek_nonce", "bytes", False), Field("width", "width", "integer", False), Field("height", "height", "integer", False), *COMMON)),
     )
