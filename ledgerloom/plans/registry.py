@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import scalars
 from ledgerloom.operators import balance, checks, lists, merge, repair, versions, writes
 from ledgerloom.plans import sql
-from ledgerloom.sources import adapter
+from ledgerloom.sources import adapter, changeset, seed
+from ledgerloom.sources.store import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -469,6 +471,28 @@ def changeset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapter.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("type")).agg(F.count("*").alias("n"))
 
 
+TYPED = "CAST(id AS VARCHAR) AS id, CAST(ledger_id AS VARCHAR) AS ledger_id, name, type, currency, opening_balance_minor, credit_limit_minor, CAST(repay_account_id AS VARCHAR) AS repay_account_id, sort_order, deleted_at"
+
+
+@query(A + f"SELECT {TYPED}, CAST(0 AS BIGINT) AS n_violations FROM account")
+def changeset_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts written as a change set, verified, read back and typed; the SQL has the accounts themselves."""
+    rows = adapter.accounts(spark, sf_dir)
+    text = {c: F.col(c).cast("string") for c in ("id", "ledger_id", "repay_account_id")}
+    rows = rows.withColumns(text | {"created_at": F.lit(NOW), "updated_at": F.lit(NOW), "device_id": F.lit("device-a"), "rev": F.lit(1).cast("long")})
+    path = f"{scratch(spark)}/changeset-{uuid.uuid4().hex}"
+    changeset.write_changeset({"account": rows}, path, NOW)
+    changeset.verify(spark, path, None)
+    back = changeset.read_records(changeset.read_lines(spark, path), "account")
+    return back.select("id", "ledger_id", "name", "type", "currency", "opening_balance_minor", "credit_limit_minor", "repay_account_id", "sort_order", "deleted_at", F.size("violations").cast("long").alias("n_violations"))
+
+
+@query(sql.with_(sql.LEDGER, sql.ACCOUNT, sql.TXN) + "SELECT 'ledger' AS stage, count(*) AS n FROM ledger UNION ALL SELECT 'account', count(*) FROM account UNION ALL SELECT 'txn', count(*) FROM txn")
+def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by table, from the canonical dump."""
+    return seed.canonical({"ledger": adapter.ledgers(spark, sf_dir), "account": adapter.accounts(spark, sf_dir), "txn": adapter.txns(spark, sf_dir)}).select("stage", "n")
+
+
 @query(sql.with_(TREE) + "SELECT kind, name, count(*) AS n FROM tree WHERE deleted_at IS NULL GROUP BY kind, name HAVING count(*) > 1")
 def unique_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.unique_violations(tree(spark, sf_dir), ["kind", "name"])
@@ -549,7 +573,7 @@ def top_expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("rank", rank).where("rank <= 10").select("ledger_id", "id", "amount_minor", "rank")
 
 
-@query("SELECT p_partkey AS id, p_name AS name FROM part WHERE contains(p_name, '1') AND contains(lower(p_name), 'part')")
+@query("SELECT p_partkey AS id, p_name AS name FROM part WHERE contains(p_name, 'old') AND contains(lower(p_name), 'widget')")
 def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Substring search, as a trigram index would answer it."""
-    return adapter.table(spark, sf_dir, "part").where(F.contains("p_name", F.lit("1")) & F.contains(F.lower("p_name"), F.lit("part"))).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return adapter.table(spark, sf_dir, "part").where(F.contains("p_name", F.lit("old")) & F.contains(F.lower("p_name"), F.lit("widget"))).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))

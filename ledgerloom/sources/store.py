@@ -11,15 +11,22 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only a local session gets a temporary one where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the checkpoint folder (spark.checkpoint.dir), so that plans made of it stay small.
-    Only a local session gets a temporary folder where none is set."""
+    """df computed once and kept in the shared folder, so that plans made of it stay small."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ledgerloom-"))
+        context.setCheckpointDir(scratch(df.sparkSession))
     return df.checkpoint()
 
 
