@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import WORD, staged
 
-#: Ranks of a source are dealt into so many bins, so that the running sum needs bins and one bin's documents only.
-BINS = 4096
+#: Ranks of a source are dealt into so many bins, and the bin that the target falls into again, so that running sums need
+#: the sums of so many bins, and one 65,536th or so of a source's documents.
+BINS = 256
 
 
 def word_count(text: Column) -> Column:
@@ -49,6 +50,16 @@ def draw(doc_id: Column, seed: str) -> Column:
     return (bits.cast("double") + 0.5) / float(2**52)
 
 
+def edge(rows: DataFrame) -> DataFrame:
+    """(s, edge, left_before): for each source of rows (source, size, need, bin) the bin whose words, added to those of
+    the bins before, exceed the need, and what is needed before it. Sources that no bin exceeds are left out."""
+    bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"), F.first("need").alias("need"))
+    upto = F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    left = bins.select(F.col("source").alias("s"), "bin", (F.col("need") - upto + F.col("bin_size")).alias("left_before"), (F.col("need") - upto).alias("left_after"))
+    over = left.where("left_after < 0").groupBy("s").agg(F.min(F.struct("bin", "left_before")).alias("first"))
+    return over.select("s", F.col("first.bin").alias("edge"), "first.left_before")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: str = "mix-1:", doc_weight: str | None = None, fillers: int = 2) -> DataFrame:
     """Every row's doc_id, source, size (words), source_size, target, copies and taken (size times copies).
 
@@ -71,15 +82,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     p = F.least(F.greatest(F.col("fraction") * F.col("weight") * F.col("source_size") / F.col("weighed"), F.lit(1e-12)), F.lit(1 - 1e-12))
     u = draw(F.col("doc_id"), seed)
     odds = (u / (1 - u)) / F.when(F.col("weighed") > 0, p / (1 - p)).otherwise(F.lit(1.0))
-    rows = rows.withColumn("rank", odds).withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("int"))
-
-    bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"), F.first("need").alias("need"))
-    w = Window.partitionBy("source").orderBy("bin")
-    upto = F.sum("bin_size").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    bins = bins.select(F.col("source").alias("s"), F.col("bin").alias("b"), (F.col("need") - upto).alias("left_after"), (F.col("need") - upto + F.col("bin_size")).alias("left_before"))
-    edge = F.first("b").over(Window.partitionBy("s").orderBy("b"))
-    edges = bins.where("left_after < 0").withColumn("first", edge).where("b = first").select("s", F.col("b").alias("edge"), "left_before")
-    rows = rows.join(edges, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    fine = F.floor(F.col("rank") / (1 + F.col("rank")) * BINS * BINS).cast("int")
+    rows = rows.withColumn("rank", odds).withColumn("fine", F.least(fine, F.lit(BINS * BINS - 1))).withColumn("coarse", F.floor(F.col("fine") / BINS).cast("int"))
+    rows = staged(rows, "mix-odds")
+    coarse = edge(rows.select("source", "size", "need", F.col("coarse").alias("bin")))
+    within = rows.join(coarse, F.col("source").eqNullSafe(F.col("s")) & (F.col("coarse") == F.col("edge")))
+    edges = edge(within.select("source", "size", F.col("left_before").alias("need"), F.col("fine").alias("bin")))
+    rows = rows.withColumnRenamed("fine", "bin").join(edges, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     inside = rows.where("bin = edge").select("source", "doc_id", "rank", "size", "left_before")
     run = F.sum("size").over(Window.partitionBy("source").orderBy("rank", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0))
     inside = inside.withColumn("left_after", F.col("left_before") - run)
