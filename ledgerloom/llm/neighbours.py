@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import staged
+
 PROJECTIONS = 112
 #: Half-width of the first windows, as a share of the vectors' common length, and the ratio that widens them.
 WIDTH, RATIO = 1.9, 1.06
@@ -113,7 +115,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     at most k. Only vectors of the query's own dimension are candidates. Null, zero and non-finite vectors and rows
     without vec_id take no part; an empty table gives an empty result; other columns are not read.
     """
-    good = usable(vectors).withColumn("dim", F.size("embedding"))
+    good = staged(usable(vectors).withColumn("dim", F.size("embedding")), "neighbours")
     square = F.aggregate("embedding", F.lit(0.0), lambda a, e: a + e * e)
     n, most = good.agg(F.count("*"), F.sqrt(F.max(square))).first()
     blocks = max(1, -(-n // BLOCK))
