@@ -8,7 +8,7 @@ orthogonal to all of theirs, so two fingerprints within r agree under that mask
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,21 +24,34 @@ SEED = 42
 BUCKET = 1 << 16
 
 
+def majority(parts: Iterator[bytes], n: int) -> int:
+    """The bits that are set in more than half of the n parts' hashes."""
+    counts, digest = np.zeros(BITS, np.int64), xxhash.xxh64_intdigest
+    while hashes := [digest(x, SEED) for x in islice(parts, 1 << 14)]:
+        part = np.array(hashes, "<u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
 def simhash(text: str | None, width: int = 4) -> int:
     """The fingerprint of a text's word shingles, repeats included; 0 for a null text or one without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words = words_of(text)
     if not words:
         return 0
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    width = min(width, len(words))
+    joined, width = b" ".join(words), min(width, len(words))
     ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
     starts = [0, *(e + 1 for e in ends)]
-    n, counts = len(words) - width + 1, np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 14):
-        to = min(n, at + (1 << 14))
-        part = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at:to], ends[at + width - 1 : to + width - 1])], "<u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    return majority((joined[a:b] for a, b in zip(starts, ends[width - 1 :])), len(words) - width + 1)
+
+
+def word_simhash(text: str | None, least: int) -> int | None:
+    """The fingerprint of a text's distinct words; null if there are fewer than `least`."""
+    words = set(words_of(text))
+    return majority(iter(words), len(words)) if len(words) >= least else None
 
 
 def covering(radius: int, positions: list[int]) -> list[int]:
@@ -51,15 +64,20 @@ def signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 4, least_words: int | None = None) -> DataFrame:
+    """(doc_id, fp, words_fp): the fingerprints' 64 bits as signed longs; words_fp is null without least_words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((simhash(x.as_py(), width) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps, words = [], []
+            for x in batch.column(1):
+                text = x.as_py()
+                fps.append(signed(simhash(text, width)))
+                other = None if least_words is None else word_simhash(text, least_words)
+                words.append(None if other is None else signed(other))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(words, pa.int64())], ["doc_id", "fp", "words_fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, words_fp long")
 
 
 def forest(x: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
@@ -126,7 +144,7 @@ def bucket_links(batches: Iterator[pa.RecordBatch], radius: int, most: int | Non
 def near_links(distinct: DataFrame, radius: int = 4, most: int = BUCKET) -> DataFrame:
     """Links (a, b) between fingerprints of the one-column frame distinct (fp) whose components are those of all pairs
     within the radius. A bucket of over `most` fingerprints is covered again on its free bits, at most 16 of 32 of
-    which stay free (radius 4), so no second bucket has more than 65,536 members."""
+    which stay free (radius 4), so no second bucket has more than 65,536 members (2^17 for radius 5)."""
     masks = covering(radius, list(range(BITS)))
     rows = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("tbl", "key"))
 
@@ -148,16 +166,28 @@ def near_links(distinct: DataFrame, radius: int = 4, most: int = BUCKET) -> Data
     return links.distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, most: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, most: int = BUCKET, words_radius: int | None = None, least_words: int = 16) -> DataFrame:
     """Every row's doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that links reach.
 
+    With words_radius, documents of at least least_words distinct words also link if the fingerprints of their distinct
+    words differ in at most that many bits. A changed word spoils `width` shingles but one word, so this finds copies
+    with more changes.
+
     Null, empty and blank texts have fingerprint zero and link like others. Rows without doc_id keep a row, and count
     for a component_id only if no member has one (then it is null). Repeated rows each keep theirs; an empty table
     gives an empty result. Other columns are not read.
     """
-    fps = staged(fingerprints(docs, width), "simhash")
+    fps = staged(fingerprints(docs, width, None if words_radius is None else least_words), "simhash")
     classes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    roots = components(near_links(classes.select("fp"), radius, most)).withColumnRenamed("node", "fp")
+    links = near_links(classes.select("fp"), radius, most)
+    if words_radius is not None:
+        pairs = staged(fps.where("words_fp is not null").groupBy("words_fp").agg(F.min("fp").alias("head")), "simhash-words")
+        same = fps.where("words_fp is not null").select("words_fp", "fp").distinct().join(pairs, "words_fp").where("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
+        near = near_links(pairs.select(F.col("words_fp").alias("fp")), words_radius, most)
+        heads = pairs.select(F.col("words_fp").alias("w"), "head")
+        near = near.join(heads, F.col("a") == F.col("w")).select(F.col("head").alias("x"), "b").join(heads, F.col("b") == F.col("w")).select(F.col("x").alias("a"), F.col("head").alias("b"))
+        links = links.unionByName(same).unionByName(near)
+    roots = components(links).withColumnRenamed("node", "fp")
     classes = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = classes.join(least, "root").select("fp", "component_id")

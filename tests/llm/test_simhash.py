@@ -112,6 +112,19 @@ def test_forest():
     assert len(links) == 5 and {abs(b.bit_count() - a.bit_count()) for a, b in links} == {1}
 
 
+def test_distinct_words(spark):
+    """Copies with some words changed link by their distinct words; unlike and short texts don't."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    changed = [w if i % 60 else f"x{i}" for i, w in enumerate(base)]
+    other = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(5, " ".join(base)), (3, " ".join(changed)), (4, " ".join(other)), (6, "a b c"), (7, "c b a"), (8, None), (9, " ".join(reversed(base)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, words_radius=8).collect()}
+    assert got == {5: 3, 3: 3, 4: 4, 6: 6, 7: 7, 8: 8, 9: 3}
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}[5] == 5
+
+
 def test_query(spark, sf_dir):
     rows = [tuple(r) for r in registry.table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
     assert sorted(map(tuple, registry.op3_simhash(spark, sf_dir).collect()), key=str) == expected(rows)
