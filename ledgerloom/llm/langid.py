@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import staged
+from ledgerloom.llm.common import bound_batches, staged
 
 ORDER = 4
 #: Code points above 16 bits share 4,096 symbols of the private-use area.
@@ -214,6 +214,7 @@ def train(docs: DataFrame, rows_per_lang: int = 1500, margin: float = 1.0) -> Mo
     """Fits a model to at most rows_per_lang rows of each language (lang not null, remainder not 0), those of the
     smallest hash of doc_id; a quarter of them only calibrates. The counts come from tasks; the driver gets the sample's
     distinct n-grams, of which there are at most as many as the sample has letters."""
+    bound_batches(docs.sparkSession)
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id")) != 0))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).cast("double") / float(1 << 30)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import staged
+from ledgerloom.llm.common import bound_batches, staged
 
 #: The byte-level BPE's word pattern (published with the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -231,6 +231,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, windows: int = 32)
                 held.setdefault(r["sequence_id"], []).append(Piece(r["doc_id"], r["start"], r["ids"], r["doc_tokens"]))
         yield from close()
 
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     first = staged(texts.mapInArrow(run, OPEN), "packing")
     left = first.where("task is not null").withColumn("grp", F.floor(F.col("task") / MERGED))

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import bound_batches
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
@@ -137,6 +139,7 @@ def scan(docs: DataFrame, rewrite: bool = False) -> DataFrame:
                 cols[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays(cols, names)
 
+    bound_batches(docs.sparkSession)
     if rewrite:
         return docs.withColumn("n_chars", F.col("n_chars").cast("long")).mapInArrow(clean, docs.withColumn("n_chars", F.col("n_chars").cast("long")).schema)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, {FOUND}")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import components, staged
+from ledgerloom.llm.common import bound_batches, components, staged
 
 BITS = 64
 SEED = 42
@@ -77,6 +77,7 @@ def fingerprints(docs: DataFrame, width: int = 4, least_words: int | None = None
                 words.append(None if other is None else signed(other))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(words, pa.int64())], ["doc_id", "fp", "words_fp"])
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, words_fp long")
 
 

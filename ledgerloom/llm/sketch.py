@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import bound_batches
+
 K = 128
 SHINGLE = 12
 _BASE = 0x9E3779B97F4A7C15
@@ -112,6 +114,7 @@ def fingerprint(docs: DataFrame, k: int = K, width: int = SHINGLE) -> DataFrame:
     borders, and a row a range, are all that the driver sees.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = texts.select("doc_id").where("doc_id is not null")

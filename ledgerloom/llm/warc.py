@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import staged
+from ledgerloom.llm.common import bound_batches, staged
 
 MARK = b"WARC/1.1\r\n"
 DATE = "1970-01-01T00:00:00Z"
@@ -97,6 +97,7 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = 8192, chunk
     cut into a response and continuation records. Only the digest and page_id are aggregated; a payload that a third
     of the rows share is a skewed join key, which adaptive execution splits.
     """
+    bound_batches(pages.sparkSession)
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"), F.monotonically_increasing_id().alias("row_key"))
     base = base.withColumn("digest", F.unhex(F.sha1("payload")))
     keep = base.groupBy("digest").agg(F.max("page_id").alias("refers_to"))
@@ -202,6 +203,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     digest other than the header's gives complete false. Files must be gzipped or small enough not to be split if a
     payload may hold the version line.
     """
+    bound_batches(spark)
     lines = spark.read.option("lineSep", MARK.decode()).text(path).select(F.col("value").cast("binary").alias("value"))
     whole = lines.mapInArrow(lambda b: pieces(b, False), SEGMENTS).mapInArrow(assembled, READ)
     cut = lines.mapInArrow(lambda b: pieces(b, True), SEGMENTS)
