@@ -93,4 +93,67 @@ SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
 FROM p
 """
 
-SQL: dict[str, str] = {"op1_warc": _WARC_SQL}
+#: Documents in order of rank while their words fit the need, then two that come nearest to what is left.
+_MIXING_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, sum(size * 1.0::DOUBLE) AS weighed FROM d GROUP BY source),
+w AS (SELECT *, [3.0::DOUBLE, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
+l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0.0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0.0)) AS level
+      FROM w WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, CASE WHEN cap <= level * weight THEN cap ELSE max(CASE WHEN cap > level * weight THEN level END) OVER () * weight END AS target FROM l),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS times FROM t),
+n AS (SELECT source, source_size, target, weighed, CAST(floor(times) AS BIGINT) AS sure, times - floor(times) AS fraction, target - floor(times) * source_size AS need FROM g),
+u AS (SELECT d.doc_id, d.source, d.size, n.source_size, n.target, n.sure, n.need,
+             least(greatest(fraction * 1.0::DOUBLE * n.source_size / weighed, 1e-12::DOUBLE), (1 - 1e-12)::DOUBLE) AS p, weighed,
+             (CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+      FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source),
+r AS (SELECT *, (u / (1.0::DOUBLE - u)) / CASE WHEN weighed > 0 THEN p / (1.0::DOUBLE - p) ELSE 1.0::DOUBLE END AS rank FROM u),
+c AS (SELECT *, row_number() OVER o AS place, need - sum(size) OVER (o ROWS UNBOUNDED PRECEDING) AS after FROM r WINDOW o AS (PARTITION BY source ORDER BY rank, doc_id NULLS LAST, size)),
+e AS (SELECT source, min(place) FILTER (after < 0) AS stop FROM c GROUP BY source),
+x AS (SELECT c.*, stop, need > 0 AND (stop IS NULL OR place < stop) AS extra FROM c JOIN e ON c.source IS NOT DISTINCT FROM e.source),
+gap AS (SELECT source, max(need) - coalesce(sum(size) FILTER (extra), 0) AS gap FROM x WHERE stop IS NOT NULL GROUP BY source),
+f1 AS (SELECT x.source, arg_min(place, struct_pack(m := abs(gap - size), r := rank, d := doc_id, s := size)) AS place, any_value(gap) AS gap
+       FROM x JOIN gap ON x.source IS NOT DISTINCT FROM gap.source WHERE gap > 0 AND NOT extra AND size > 0 AND abs(gap - size) < abs(gap) GROUP BY x.source),
+g2 AS (SELECT f1.source, f1.place, f1.gap - x.size AS gap FROM f1 JOIN x ON x.source IS NOT DISTINCT FROM f1.source AND x.place = f1.place),
+f2 AS (SELECT x.source, arg_min(x.place, struct_pack(m := abs(gap - size), r := rank, d := doc_id, s := size)) AS place
+       FROM x JOIN g2 ON x.source IS NOT DISTINCT FROM g2.source WHERE gap > 0 AND NOT extra AND size > 0 AND x.place <> g2.place AND abs(gap - size) < abs(gap) GROUP BY x.source)
+SELECT x.doc_id, x.size, x.source_size, x.target, x.size * (sure + CASE WHEN extra OR f1.place IS NOT NULL OR f2.place IS NOT NULL THEN 1 ELSE 0 END) AS taken
+FROM x LEFT JOIN f1 ON x.source IS NOT DISTINCT FROM f1.source AND x.place = f1.place LEFT JOIN f2 ON x.source IS NOT DISTINCT FROM f2.source AND x.place = f2.place
+"""
+
+def licences_sql() -> str:
+    """The licence scan in full, without bounds or prefilters; the templates' terms are stated as rows."""
+    wanted = licenses.template_terms(licenses.TEMPLATES)
+    rows = ", ".join(f"('{name}', '{t}', {n})" for name, c in wanted.items() for t, n in sorted(c.items()))
+    is_file = "regexp_matches(path, '(?i)(^|/)(licen[sc]e|copying|unlicense)([.-][^/]*)?$')"
+    return f"""
+WITH template(name, term, n) AS (VALUES {rows}),
+files AS (SELECT doc_id, text, coalesce(source, 'none') || '/' || CASE
+    WHEN doc_id % 1000 = 0 THEN (doc_id // 1000) || '/LICENSE'
+    WHEN doc_id % 10 = 0 THEN (doc_id // 1000) || '/' || (doc_id // 10 % 100) || '/LICENSE'
+    ELSE (doc_id // 1000) || '/' || (doc_id // 10 % 100) || '/' || doc_id || '.txt' END AS path FROM documents),
+blocks AS (SELECT doc_id, line, TRUE AS is_line, row_number() OVER () AS b FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM files)
+    UNION ALL SELECT doc_id, coalesce(text, ''), FALSE, -row_number() OVER () FROM files WHERE {is_file}),
+words AS (SELECT doc_id, b, is_line, unnest(regexp_split_to_array(translate(line, '{licenses.UPPER}', '{licenses.LOWER}'), '[^a-z0-9]+')) AS w FROM blocks),
+tf AS (SELECT doc_id, b, is_line, w, count(*) AS tf FROM words WHERE w <> '' GROUP BY ALL),
+total AS (SELECT count(*) AS lines FROM blocks WHERE is_line),
+idf AS (SELECT term, ln((1 + lines) / (1 + (SELECT count(*) FROM tf WHERE w = term AND is_line))) + 1 AS idf FROM (SELECT DISTINCT term FROM template), total),
+weighed AS (SELECT tf.*, coalesce(idf, ln(1 + lines) + 1) AS idf FROM tf CROSS JOIN total LEFT JOIN idf ON w = term),
+norm AS (SELECT doc_id, b, sqrt(sum((tf * idf) ** 2)) AS norm FROM weighed GROUP BY doc_id, b),
+whole AS (SELECT name, sqrt(sum((n * idf) ** 2)) AS whole FROM template JOIN idf USING (term) GROUP BY name),
+dot AS (SELECT doc_id, b, name, sum(tf * n * idf ** 2) AS dot FROM weighed JOIN template ON w = term GROUP BY doc_id, b, name),
+score AS (SELECT doc_id, name, round(dot / (norm * whole), {licenses.DECIMALS}) AS score FROM dot JOIN norm USING (doc_id, b) JOIN whole USING (name)),
+own AS (SELECT doc_id, arg_min(name, struct_pack(s := -score, n := name)) AS own_license, max(score) AS own_score FROM score WHERE score >= 0.6 GROUP BY doc_id),
+mine AS (SELECT files.doc_id, path, own_license, own_score, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM files LEFT JOIN own USING (doc_id)),
+given AS (SELECT dir, min(struct_pack(s := -own_score, p := path, n := own_license)) AS best FROM mine WHERE own_license IS NOT NULL AND {is_file} GROUP BY dir),
+up AS (SELECT doc_id, k AS distance, array_to_string(string_split(dir, '/')[1 : len(string_split(dir, '/')) - k], '/') AS above
+    FROM (SELECT doc_id, dir, unnest(range(len(string_split(dir, '/')) + 1)) AS k FROM mine WHERE own_license IS NULL)),
+near AS (SELECT doc_id, min(struct_pack(d := distance, p := best.p, n := best.n)) AS near FROM up JOIN given ON above = given.dir GROUP BY doc_id)
+SELECT doc_id, path, own_license, own_score, coalesce(own_license, near.n) AS license,
+       CASE WHEN own_license IS NOT NULL THEN path ELSE near.p END AS license_path,
+       CAST(CASE WHEN own_license IS NOT NULL THEN 0 ELSE near.d END AS BIGINT) AS distance
+FROM mine LEFT JOIN near USING (doc_id)
+"""
+
+
+SQL: dict[str, str] = {"op1_warc": _WARC_SQL, "op2_licenses": licences_sql(), "op5_mixing": _MIXING_SQL}

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 from ledgerloom.llm import licenses, registry
+from tests.compare import same
 
 FILES = "key long, path string, text string, license string, distance string, own_score int"
 
@@ -115,3 +116,4 @@ def test_query(spark, sf_dir):
     files = [tuple(r) for r in registry.repository(registry.table(spark, sf_dir, "documents")).collect()]
     got = sorted(map(tuple, registry.op2_licenses(spark, sf_dir).collect()), key=str)
     assert [g[:3] + g[4:] for g in got] == [w[:3] + w[4:] for w in brute(files)]
+    same(registry.op2_licenses(spark, sf_dir), registry.SQL["op2_licenses"], sf_dir)

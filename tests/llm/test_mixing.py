@@ -4,6 +4,7 @@ import random
 import re
 
 from ledgerloom.llm import mixing, registry
+from tests.compare import same
 
 DOCS = "doc_id long, text string, source string, size string, target string, rank int, weight double"
 
@@ -87,4 +88,4 @@ def test_inclusion_is_even(spark):
 def test_query(spark, sf_dir):
     rows = [tuple(r) for r in registry.table(spark, sf_dir, "documents").select("doc_id", "text", "source").collect()]
     examine(rows, mixing.mix(registry.table(spark, sf_dir, "documents")).collect(), 0.03)
-    assert registry.op5_mixing(spark, sf_dir).columns == ["doc_id", "size", "source_size", "target", "taken"]
+    same(registry.op5_mixing(spark, sf_dir), registry.SQL["op5_mixing"], sf_dir)
