@@ -29,7 +29,7 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 ENDS_P = BLOCK - frozenset("body html caption tbody td tfoot th thead tr legend optgroup option".split())
 NEVER = frozenset("nav footer aside form script style noscript iframe template svg canvas object select button menu dialog textarea title head noembed noframes input math audio video map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-NAMES = frozenset("nav navbar navigation menu submenu breadcrumb breadcrumbs header masthead topbar footer foot colophon sidebar aside rail widget widgets ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promotions cookie cookies consent gdpr notice notices notification alert disclaimer popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus discussion respond reply replies pagination pager toolbar skip hidden copyright form search".split())
+NAMES = frozenset("nav navbar navigation menu submenu breadcrumb breadcrumbs header masthead topbar footer foot colophon sidebar aside rail widget widgets ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promotions cookie cookies consent gdpr notice notices notification alert disclaimer popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus discussion respond reply replies pagination pager toolbar skip hidden copyright form search side sidenav subnav topnav topmenu leftnav rightnav mainmenu navmenu announcement announcements responses remarks guestbook outbrain taboola teaser teasers".split())
 REMARKS = frozenset("comment comments commentlist disqus reply replies respond related promo sponsored ad advert".split())
 #: An open element of the key's name is closed by a start of one of these, up to the nearest of the second set.
 CLOSED_BY = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
