@@ -77,12 +77,12 @@ def test_inclusion_is_even(spark):
     rows = [(i, "w " * (1 + i % 5), "s", "", "", 1, 4.0 if i % 2 else 1.0) for i in range(200)]
     docs = spark.createDataFrame(rows, DOCS)
     twice, heavy = [0] * 5, 0
-    for seed in range(12):
+    for seed in range(5):
         for r in mixing.mix(docs, seed=f"{seed}:").where("copies = 2").collect():
             twice[r["doc_id"] % 5] += 1
         heavy += mixing.mix(docs, seed=f"{seed}:", doc_weight="weight").where("copies = 2 and doc_id % 2 = 1").count()
-    assert all(0.38 < n / 480 < 0.62 for n in twice)
-    assert heavy / 1200 > 0.6
+    assert all(0.34 < n / 200 < 0.66 for n in twice)
+    assert heavy / 500 > 0.6
 
 
 def test_query(spark, sf_dir):
