@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np

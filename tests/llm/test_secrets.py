@@ -6,6 +6,7 @@ import re
 import zlib
 
 from ledgerloom.llm import registry, secrets
+from tests.compare import same
 
 PATTERNS = (("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+"))
 
@@ -68,3 +69,4 @@ def test_query(spark, sf_dir):
     rows = [tuple(r) for r in registry.table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
     got = registry.op9_secrets(spark, sf_dir).drop("spans").collect()
     assert sorted(map(tuple, got)) == sorted(row(*r) for r in rows)
+    same(registry.op9_secrets(spark, sf_dir), registry.SQL["op9_secrets"], sf_dir)
