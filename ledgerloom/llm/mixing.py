@@ -85,14 +85,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     fine = F.floor(F.col("rank") / (1 + F.col("rank")) * BINS * BINS).cast("int")
     rows = rows.withColumn("rank", odds).withColumn("fine", F.least(fine, F.lit(BINS * BINS - 1))).withColumn("coarse", F.floor(F.col("fine") / BINS).cast("int"))
     rows = staged(rows, "mix-odds")
-    coarse = edge(rows.select("source", "size", "need", F.col("coarse").alias("bin")))
+    # what has a row a source is written, so that Spark knows its size and can broadcast it instead of shuffling rows
+    coarse = staged(edge(rows.select("source", "size", "need", F.col("coarse").alias("bin"))), "mix-coarse")
     within = rows.join(coarse, F.col("source").eqNullSafe(F.col("s")) & (F.col("coarse") == F.col("edge")))
-    edges = edge(within.select("source", "size", F.col("left_before").alias("need"), F.col("fine").alias("bin")))
+    edges = staged(edge(within.select("source", "size", F.col("left_before").alias("need"), F.col("fine").alias("bin"))), "mix-edges")
     rows = rows.withColumnRenamed("fine", "bin").join(edges, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     inside = rows.where("bin = edge").select("source", "doc_id", "rank", "size", "left_before")
     run = F.sum("size").over(Window.partitionBy("source").orderBy("rank", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0))
     inside = inside.withColumn("left_after", F.col("left_before") - run)
     stop = inside.groupBy(F.col("source").alias("s")).agg(F.min(F.when(F.col("left_after") < 0, F.struct("rank", F.col("doc_id").isNull().alias("none"), "doc_id", "size"))).alias("stop"), F.coalesce(F.min(F.when(F.col("left_after") >= 0, F.col("left_after"))), F.first("left_before")).alias("gap"))
+    stop = staged(stop, "mix-stop")
     here = F.struct("rank", F.col("doc_id").isNull().alias("none"), "doc_id", "size")
     rows = rows.join(stop, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     rows = rows.withColumn("extra", F.col("edge").isNull() | (F.col("bin") < F.col("edge")) | (F.col("bin") == F.col("edge")) & (F.col("stop").isNull() | (here < F.col("stop"))))
@@ -100,7 +102,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     rows = staged(rows, "mix-ranks")
 
     filled = None
-    gap = rows.where("gap > 0").groupBy("source").agg(F.first("gap").alias("gap"))
+    gap = staged(rows.where("gap > 0").groupBy("source").agg(F.first("gap").alias("gap")), "mix-gap")
     for k in range(fillers):
         rest = rows.where("not extra and size > 0").select(F.col("source").alias("s"), "doc_id", "rank", "size")
         if filled is not None:
