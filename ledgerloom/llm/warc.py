@@ -127,7 +127,7 @@ def pieces(batches: Iterator[pa.RecordBatch], segmented: bool) -> Iterator[pa.Re
         if not found or not f.get("content-length", "").isdigit():
             raise ValueError(f"not a WARC record: {piece[:80]!r}")
         n = int(f["content-length"])
-        if len(rest) < n + 4 and rest[n:] not in (b"\r\n", b"\r\n\r\n"[: len(rest) - n]):
+        if len(rest) < n:
             return None
         long = lambda k: int(f[k]) if k in f else None
         return {"record_id": f.get("warc-segment-origin-id", f.get("warc-record-id")), "type": f.get("warc-type"), "page_id": long("x-page-id"), "uri": f.get("warc-target-uri"), "refers_to": long("x-refers-to-page"), "digest": f.get("warc-payload-digest", "").removeprefix("sha1:"), "segment": long("warc-segment-number"), "total": long("warc-segment-total-length"), "block": rest[:n]}
