@@ -12,9 +12,11 @@ from ledgerloom.llm import langid, mixing, packing, secrets, simhash
 from ledgerloom.llm.common import staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Bits in which near duplicates' distinct-word fingerprints may differ. On the test documents that links 74 % of the
-#: pairs whose five-word shingles have a Jaccard similarity of 0.8 or more, and none of less than 0.5.
+#: Bits in which near duplicates' distinct-word fingerprints may differ. On the test documents that finds 74 % of the
+#: pairs whose five-word shingles have a Jaccard similarity of 0.8 or more.
 WORDS_RADIUS = 5
+#: Least exact Jaccard similarity of five-word shingles of documents that link by their distinct words.
+SIMILAR = 0.8
 #: Includes a tokenizer; no SQL can express it.
 ORACLE_SQL = None
 
@@ -28,11 +30,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near duplicates the document of the smallest doc_id stays.
 
     Texts link by their shingles as in the operator's query, and by their distinct words, as copies with a few words
-    changed differ in many shingles. Rows without doc_id can't be told apart and stay. An id that several rows have
+    changed differ in many shingles; a link by distinct words must also be SIMILAR. Rows without doc_id can't be told apart and stay. An id that several rows have
     goes only if none of them is its group's smallest.
     """
     rows = docs.select(*COLUMNS)
-    found = simhash.near_duplicates(rows, words_radius=WORDS_RADIUS).where("doc_id is not null")
+    found = simhash.near_duplicates(rows, words_radius=WORDS_RADIUS, least_similar=SIMILAR).where("doc_id is not null")
     gone = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first")).where("not first")
     return rows.join(gone.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
 

@@ -20,6 +20,8 @@ from ledgerloom.llm.common import bound_batches, components, staged
 
 BITS = 64
 SEED = 42
+#: Texts a side that one task compares exactly.
+COMPARED = 1024
 #: Members of a bucket that one task holds; larger buckets are covered again on the bits that their mask leaves free.
 BUCKET = 1 << 16
 
@@ -65,7 +67,7 @@ def signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4, least_words: int | None = None) -> DataFrame:
-    """(doc_id, fp, words_fp): the fingerprints' 64 bits as signed longs; words_fp is null without least_words."""
+    """(doc_id, fp, words_fp, text_hash): the fingerprints' 64 bits as signed longs; words_fp is null without least_words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,10 +77,11 @@ def fingerprints(docs: DataFrame, width: int = 4, least_words: int | None = None
                 fps.append(signed(simhash(text, width)))
                 other = None if least_words is None else word_simhash(text, least_words)
                 words.append(None if other is None else signed(other))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(words, pa.int64())], ["doc_id", "fp", "words_fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(words, pa.int64()), batch.column(2)], ["doc_id", "fp", "words_fp", "text_hash"])
 
     bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, words_fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(run, "doc_id long, fp long, words_fp long, text_hash long")
 
 
 def forest(x: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
@@ -167,12 +170,88 @@ def near_links(distinct: DataFrame, radius: int = 4, most: int = BUCKET) -> Data
     return links.distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, most: int = BUCKET, words_radius: int | None = None, least_words: int = 16) -> DataFrame:
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Sorted hashes of a text's distinct word shingles; a text of fewer words is one shingle."""
+    words = words_of(text)
+    found = {xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(max(1, len(words) - width + 1))}
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is at least `least`."""
+    if min(a.size, b.size) < least * max(a.size, b.size):
+        return False
+    common = a.size + b.size - np.union1d(a, b).size
+    return common >= least * (a.size + b.size - common)
+
+
+def similar_links(words: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, radius: int, least: float) -> Iterator[tuple[int, int]]:
+    """Places (i, j) of links whose components are those of all similar pairs within the radius. Pairs that are joined
+    already aren't compared; if both sides 0 and 1 occur, only pairs across them are."""
+    up = list(range(len(sets)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    two = bool(sides.min() != sides.max())
+    for i in range(len(sets) - 1):
+        near = np.bitwise_count(words[i + 1 :] ^ words[i]) <= radius
+        if two:
+            near &= sides[i + 1 :] != sides[i]
+        for j in (np.flatnonzero(near) + i + 1).tolist():
+            a, b = root(i), root(j)
+            if a != b and similar(sets[i], sets[j], least):
+                up[b] = a
+                yield i, j
+
+
+def verified_links(docs: DataFrame, fps: DataFrame, near: DataFrame, radius: int, least: float, width: int) -> DataFrame:
+    """Links (a, b) between fp of documents whose words_fp are within the radius and whose word shingles' exact Jaccard
+    similarity is at least `least`; near: links of words_fp whose components hold all such pairs.
+
+    A component's distinct texts are compared in blocks of about COMPARED on a side, so a large component is many
+    groups. Texts are reduced to their shingles' hashes where they are scanned.
+    """
+    texts = fps.where("words_fp is not null").select("words_fp", "fp", "text_hash").distinct()
+    roots = components(near)
+    places = texts.join(roots, F.col("words_fp") == F.col("node"), "left").select("words_fp", "fp", "text_hash", F.coalesce("root", "words_fp").alias("root"))
+    places = staged(places, "simhash-places")
+    sizes = places.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root", F.ceil(F.col("n") / COMPARED).cast("int").alias("parts"))
+    places = staged(places.join(sizes, "root"), "simhash-places")
+    hashed = docs.select(F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    wanted = staged(places.select("text_hash").distinct(), "simhash-wanted")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(x.as_py(), width).view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["text_hash", "shingles"])
+
+    sets = hashed.join(wanted, "text_hash", "left_semi").mapInArrow(cut, "text_hash long, shingles array<long>")
+    sets = staged(sets, "simhash-sets").dropDuplicates(["text_hash"])
+    part = F.pmod(F.xxhash64("text_hash"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    dealt = places.withColumn("part", part).select("*", other).join(sets, "text_hash")
+    dealt = dealt.select("root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") > F.col("other")).cast("int").alias("side"), "words_fp", "fp", "shingles")
+
+    def compare(t: pa.Table) -> pa.Table:
+        fp, words = t["fp"].to_numpy(), t["words_fp"].to_numpy().view(np.uint64)
+        held = t["shingles"].combine_chunks()
+        cuts, flat = held.offsets.to_numpy(), held.values.to_numpy().view(np.uint64)
+        found = list(similar_links(words, [flat[a:b] for a, b in zip(cuts, cuts[1:])], t["side"].to_numpy(), radius, least))
+        return pa.table({"a": pa.array([int(fp[i]) for i, _ in found], pa.int64()), "b": pa.array([int(fp[j]) for _, j in found], pa.int64())})
+
+    return dealt.groupBy("root", "low", "high").applyInArrow(compare, "a long, b long").where("a <> b").distinct()
+
+
+def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, most: int = BUCKET, words_radius: int | None = None, least_words: int = 16, least_similar: float | None = None, similar_width: int = 5) -> DataFrame:
     """Every row's doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that links reach.
 
     With words_radius, documents of at least least_words distinct words also link if the fingerprints of their distinct
     words differ in at most that many bits. A changed word spoils `width` shingles but one word, so this finds copies
-    with more changes.
+    with more changes. With least_similar only those pairs link whose shingles of similar_width words have that
+    Jaccard similarity or more; every pair within the bits is looked at, unless others join it already.
 
     Null, empty and blank texts have fingerprint zero and link like others. Rows without doc_id keep a row, and count
     for a component_id only if no member has one (then it is null). Repeated rows each keep theirs; an empty table
@@ -183,8 +262,11 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, most: int
     links = near_links(classes.select("fp"), radius, most)
     if words_radius is not None:
         pairs = staged(fps.where("words_fp is not null").groupBy("words_fp").agg(F.min("fp").alias("head")), "simhash-words")
-        same = fps.where("words_fp is not null").select("words_fp", "fp").distinct().join(pairs, "words_fp").where("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
         near = near_links(pairs.select(F.col("words_fp").alias("fp")), words_radius, most)
+        if least_similar is not None:
+            links = links.unionByName(verified_links(docs, fps, near, words_radius, least_similar, similar_width))
+    if words_radius is not None and least_similar is None:
+        same = fps.where("words_fp is not null").select("words_fp", "fp").distinct().join(pairs, "words_fp").where("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
         heads = pairs.select(F.col("words_fp").alias("w"), "head")
         near = near.join(heads, F.col("a") == F.col("w")).select(F.col("head").alias("x"), "b").join(heads, F.col("b") == F.col("w")).select(F.col("x").alias("a"), F.col("head").alias("b"))
         links = links.unionByName(same).unionByName(near)

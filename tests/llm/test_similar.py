@@ -1,0 +1,70 @@
+"""The near-duplicate stage: links by distinct words are held against the exact similarity of five-word shingles."""
+
+import random
+
+import corpus_pipeline
+from ledgerloom.llm import simhash
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def similarity(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def survivors(rows):
+    first = [simhash.simhash(t) for _, t in rows]
+    words = [simhash.word_simhash(t, 16) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            by_words = None not in (words[i], words[j]) and (words[i] ^ words[j]).bit_count() <= corpus_pipeline.WORDS_RADIUS
+            if (first[i] ^ first[j]).bit_count() <= 4 or by_words and similarity(rows[i][1], rows[j][1]) >= corpus_pipeline.SIMILAR:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return sorted({min(r[0] for r, g in zip(rows, group) if g == k) for k in set(group)})
+
+
+def kept(spark, rows):
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    return sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+
+
+def made():
+    """Texts of the same words in another order, and of a chain of changed words."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(6):
+        words = [f"w{k}x{i}" for i in range(120)]
+        rows.append((len(rows), " ".join(words)))
+        for changed in (1, 2, 4, 8):
+            other = list(words)
+            for i in rng.sample(range(120), changed):
+                other[i] = f"new{k}x{i}"
+            rows.append((len(rows), " ".join(other)))
+        rows.append((len(rows), " ".join(rng.sample(words, 120))))
+    return rows
+
+
+def test_only_similar_texts_go(spark):
+    rows = made()
+    got = kept(spark, rows)
+    assert got == survivors(rows)
+    assert {i for i, _ in rows if i % 6 in (0, 5)} <= set(got)
+
+
+def test_large_groups_are_split(spark, monkeypatch):
+    rows = made()
+    monkeypatch.setattr(simhash, "COMPARED", 2)
+    assert kept(spark, rows) == survivors(rows)
+
+
+def test_tables(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    assert kept(spark, rows) == survivors(rows)
