@@ -3,7 +3,8 @@
 A source whose target is x times its size gives floor(x) copies of every document for certain. For the rest each
 document has the inclusion probability p = x - floor(x) (times its weight's share, if weights are given), draws u from
 a hash of its id, and is ranked by (u / (1-u)) / (p / (1-p)). Documents are taken in that order for as long as their
-words fit the words that are left; then documents that come nearest to the gap close it.
+words fit the words that are left; then documents that come nearest to the gap close it. If the gap still has room for a
+document, the ranks are gone down further and every document that fits what is then left is taken.
 """
 
 from __future__ import annotations
@@ -60,10 +61,44 @@ def edge(rows: DataFrame) -> DataFrame:
     return over.select("s", F.col("first.bin").alias("edge"), "first.left_before")
 
 
+def walk(rest: DataFrame) -> DataFrame:
+    """rest (source, row, rank, size, need, bin) with `extra`: whether a document's words and those of all before it, in
+    order of rank, fit the need."""
+    coarse = staged(edge(rest.select("source", "size", "need", F.floor(F.col("bin") / BINS).cast("int").alias("bin"))), "mix-coarse")
+    within = rest.join(coarse, F.col("source").eqNullSafe(F.col("s")) & (F.floor(F.col("bin") / BINS) == F.col("edge")))
+    edges = staged(edge(within.select("source", "size", F.col("left_before").alias("need"), "bin")), "mix-edges")
+    rest = rest.join(edges, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    run = F.sum("size").over(Window.partitionBy("source").orderBy("rank", "row").rowsBetween(Window.unboundedPreceding, 0))
+    inside = rest.where("bin = edge").withColumn("over", run > F.col("left_before"))
+    stop = staged(inside.where("over").groupBy(F.col("source").alias("s")).agg(F.min(F.struct("rank", "row")).alias("stop")), "mix-stop")
+    rest = rest.join(stop, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    fits = F.col("edge").isNull() | (F.col("bin") < F.col("edge")) | (F.col("bin") == F.col("edge")) & (F.col("stop").isNull() | (F.struct("rank", "row") < F.col("stop")))
+    return rest.select("source", "row", "rank", "size", "need", "bin", fits.alias("extra"))
+
+
+def passed_on(rows: DataFrame) -> DataFrame | None:
+    """The `row` of every document of rows (source, row, rank, size, need, bin, extra) that fits what is left when, going
+    down the ranks, its turn comes; null if none does. A round ends at the first that doesn't fit, and the next one has
+    only documents no larger than what is left then, so the gap that remains is smaller than any document that does."""
+
+    def fitting(rows: DataFrame) -> DataFrame:
+        left = rows.groupBy(F.col("source").alias("s")).agg((F.first("need") - F.coalesce(F.sum(F.when(F.col("extra"), F.col("size"))), F.lit(0))).alias("left"))
+        rest = rows.where("not extra and size > 0").join(staged(left, "mix-left"), F.col("source").eqNullSafe(F.col("s"))).where("size <= left")
+        return staged(rest.select("source", "row", "rank", "size", F.col("left").alias("need"), "bin"), "mix-rest")
+
+    taken, rest = None, fitting(rows)
+    while not rest.isEmpty():
+        done = staged(walk(rest), "mix-walk")
+        now = done.where("extra").select("row")
+        taken = now if taken is None else taken.unionByName(now)
+        rest = fitting(done)
+    return taken
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: str = "mix-1:", doc_weight: str | None = None, fillers: int = 2) -> DataFrame:
     """Every row's doc_id, source, size (words), source_size, target, copies and taken (size times copies).
 
-    A source's taken words miss its target by less than half a document that remains, mostly by far less. No document
+    A source's taken words fall short of its target by less than any document that remains. No document
     gets more than ceil(target / source_size) copies. Null texts have no words and none are taken of them; null sources
     are a source of their own; repeated ids draw alike; an empty table gives an empty result. doc_weight names a column
     of positive weights for the fraction's inclusion odds (null: 1). Running sums go by (source, bin of rank): a source
@@ -84,7 +119,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     odds = (u / (1 - u)) / F.when(F.col("weighed") > 0, p / (1 - p)).otherwise(F.lit(1.0))
     fine = F.floor(F.col("rank") / (1 + F.col("rank")) * BINS * BINS).cast("int")
     rows = rows.withColumn("rank", odds).withColumn("fine", F.least(fine, F.lit(BINS * BINS - 1))).withColumn("coarse", F.floor(F.col("fine") / BINS).cast("int"))
-    rows = staged(rows, "mix-odds")
+    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "mix-odds")
     # what has a row a source is written, so that Spark knows its size and can broadcast it instead of shuffling rows
     coarse = staged(edge(rows.select("source", "size", "need", F.col("coarse").alias("bin"))), "mix-coarse")
     within = rows.join(coarse, F.col("source").eqNullSafe(F.col("s")) & (F.col("coarse") == F.col("edge")))
@@ -98,7 +133,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     here = F.struct("rank", F.col("doc_id").isNull().alias("none"), "doc_id", "size")
     rows = rows.join(stop, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     rows = rows.withColumn("extra", F.col("edge").isNull() | (F.col("bin") < F.col("edge")) | (F.col("bin") == F.col("edge")) & (F.col("stop").isNull() | (here < F.col("stop"))))
-    rows = rows.select("doc_id", "source", "size", "source_size", "target", "sure", "rank", "gap", (F.col("extra") & (F.col("need") > 0)).alias("extra"))
+    rows = rows.select("doc_id", "source", "size", "source_size", "target", "sure", "need", "rank", "row", "bin", "gap", (F.col("extra") & (F.col("need") > 0)).alias("extra"))
     rows = staged(rows, "mix-ranks")
 
     filled = None
@@ -119,5 +154,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     fill = filled.groupBy("fs").agg(F.collect_list(F.struct("fill.rank", "fill.doc_id", "fill.size")).alias("fills"))
     rows = rows.join(fill, F.col("source").eqNullSafe(F.col("fs")), "left")
     is_fill = F.coalesce(F.exists("fills", lambda x: (x["rank"] == F.col("rank")) & x["doc_id"].eqNullSafe(F.col("doc_id")) & (x["size"] == F.col("size"))), F.lit(False))
-    copies = F.col("sure") + F.when(F.col("extra") | is_fill, 1).otherwise(0)
+    rows = staged(rows.withColumn("extra", F.col("extra") | is_fill).drop("fs", "fills"), "mix-filled")
+    taken = passed_on(rows)
+    if taken is not None:
+        more = staged(taken.select(F.col("row").alias("more")), "mix-more")
+        rows = rows.join(more, F.col("row") == F.col("more"), "left").withColumn("extra", F.col("extra") | F.col("more").isNotNull())
+    copies = F.col("sure") + F.when(F.col("extra"), 1).otherwise(0)
     return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
