@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by inner product with collision counting (QALSH; Huang et al., 2015).
 
-Vectors get one more component, which makes all as long as the longest, so that the largest inner product is the
+Vectors are searched by ranges of length. In a range they get one more component, which makes all as long as its longest, so that the largest inner product is the
 smallest distance. Every projection is one sorted array. Round a query's own projection a window opens in each array;
 virtual rehashing widens all windows by a ratio until enough vectors have collided in the threshold's number of
-windows. (Wide windows with a high threshold tell distances apart best where they differ little.) Those are verified with their exact inner products.
+windows, and then as far as the k-th exact product so far demands. (Wide windows with a high threshold tell distances apart best where they differ little.) Those are verified with their exact inner products.
 
 Data vectors are dealt into blocks, queries too; a task has one block of each and gives the block's nearest, of which
 the best are kept. So every query meets every vector's index, in bounded pieces.
@@ -11,6 +11,8 @@ the best are kept. So every query meets every vector's index, in bounded pieces.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,9 +25,24 @@ PROJECTIONS = 112
 WIDTH, RATIO = 1.9, 1.06
 #: Share of the projections in which a candidate collides; vectors of a block that are verified, at least.
 COLLISIONS, VERIFIED, LEAST = 0.88, 0.13, 400
+#: Chance at most that a vector as near as the k-th is left out when the search ends; ratio of the lengths of a range.
+MISSED, RANGE = 0.05, 1.1
 BLOCK, QUERY_BLOCK = 16_384, 1_024
 
 
+def reach() -> float:
+    """The half-width of windows, in distances, in which a vector misses too often with a chance of MISSED: a projection
+    of a distance is normal with that deviation, so misses are binomial."""
+    allowed = int(PROJECTIONS * (1 - COLLISIONS))
+    low, high = 0.0, 10.0
+    for _ in range(60):
+        z = (low + high) / 2
+        p = math.erfc(z / math.sqrt(2))
+        kept = sum(math.comb(PROJECTIONS, i) * p**i * (1 - p) ** (PROJECTIONS - i) for i in range(allowed + 1))
+        low, high = (z, high) if 1 - kept > MISSED else (low, z)
+    return high
+
+
 class Index:
     """Sorted projections of a block's vectors x, all within the length `most`."""
 
@@ -64,6 +81,61 @@ class Index:
         return out
 
 
+    def within(self, query: np.ndarray, half: float) -> np.ndarray:
+        """The vectors that collide with the query often enough in windows of this half-width."""
+        n = self.x.shape[0]
+        at = self.lines[:, :-1] @ (query * (self.most / np.linalg.norm(query)))
+        parts = []
+        for line, row, v in zip(self.sorted, self.order, at):
+            parts += [row[: np.searchsorted(line, v - half)], row[np.searchsorted(line, v + half, "right") :]]
+        return np.flatnonzero(np.bincount(np.concatenate(parts), minlength=n) <= int(PROJECTIONS * (1 - COLLISIONS)))
+
+
+def ranges(x: np.ndarray) -> list[np.ndarray]:
+    """Places of the vectors by ranges of length, longest first; a range's lengths differ by RANGE at most."""
+    length = np.linalg.norm(x, axis=1)
+    step = np.floor(np.log(length.max() / length) / math.log(RANGE))
+    return [np.flatnonzero(step == k) for k in np.unique(step)]
+
+
+def search(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, names: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the places of its k nearest in x, best first, and their products.
+
+    Ranges of length are searched one by one, the longest first. Of a range those vectors are verified that may have a
+    greater product than the k-th so far: none if its longest can't, else all that collide in windows as wide as the
+    distance at which they would have it needs.
+    """
+    z = reach()
+    best = [(np.empty(0, np.int64), np.empty(0))] * len(queries)
+    size = np.linalg.norm(queries, axis=1)
+
+    def keep(i: int, near: np.ndarray) -> None:
+        near = near[ids[near] != names[i]]
+        near = np.concatenate([best[i][0], near[~np.isin(near, best[i][0])]])
+        score = products(x[near], queries[i])
+        order = np.lexsort((ids[near], -score))[:k]
+        best[i] = near[order], score[order]
+
+    for places in ranges(x):
+        part = x[places]
+        most = float(np.linalg.norm(part, axis=1).max())
+        short = [i for i in range(len(queries)) if best[i][0].size < k]
+        index = Index(part, most) if places.size > max(k + 1, LEAST) else None
+        if index is not None and short:
+            for i, near in zip(short, index.candidates(queries[short], k + 1)):
+                keep(i, places[near])
+        for i in range(len(queries)):
+            least = best[i][1][-1] if best[i][0].size >= k else -math.inf
+            if least > most * size[i] * (1 + 1e-9):
+                continue
+            if index is None or least == -math.inf:
+                keep(i, places)
+            else:
+                far = math.sqrt(max(0.0, 2 * most * (most - least / size[i])))
+                keep(i, places[index.within(queries[i], z * far + 1e-9 * most)])
+    return best
+
+
 def products(x: np.ndarray, query: np.ndarray) -> np.ndarray:
     return (x * query).sum(axis=1)
 
@@ -71,7 +143,7 @@ def products(x: np.ndarray, query: np.ndarray) -> np.ndarray:
 FOUND = "query_id long, vec_id long, score double"
 
 
-def block_nearest(k: int, most: float):
+def block_nearest(k: int):
     def run(data: pa.Table, queries: pa.Table) -> pa.Table:
         def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
             ids = t["vec_id"].to_numpy()
@@ -84,15 +156,11 @@ def block_nearest(k: int, most: float):
         if data.num_rows and queries.num_rows:
             order = np.argsort(ids)
             ids, x = ids[order], x[order]
-            index = Index(x, most)
             names, vectors = matrix(queries)
-            for q, vector, near in zip(names, vectors, index.candidates(vectors, k + 1)):
-                near = near[ids[near] != q]
-                score = products(x[near], vector)
-                best = np.lexsort((ids[near], -score))[:k]
-                out_q.append(np.full(best.size, q))
-                out_v.append(ids[near][best])
-                out_s.append(score[best])
+            for q, (near, score) in zip(names, search(x, ids, vectors, names, k)):
+                out_q.append(np.full(near.size, q))
+                out_v.append(ids[near])
+                out_s.append(score)
         cols = [np.concatenate(c) if c else np.empty(0) for c in (out_q, out_v, out_s)]
         return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(np.float64))})
 
@@ -116,14 +184,13 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     without vec_id take no part; an empty table gives an empty result; other columns are not read.
     """
     good = staged(usable(vectors).withColumn("dim", F.size("embedding")), "neighbours")
-    square = F.aggregate("embedding", F.lit(0.0), lambda a, e: a + e * e)
-    n, most = good.agg(F.count("*"), F.sqrt(F.max(square))).first()
+    n = good.count()
     blocks = max(1, -(-n // BLOCK))
     query_blocks = max(1, -(-n // (every * QUERY_BLOCK)))
     place = F.xxhash64("vec_id")
     data = good.select("vec_id", "embedding", "dim", F.pmod(place, F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"))
     queries = good.where(F.col("vec_id") % every == 0).select("vec_id", "embedding", "dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.hash("vec_id"), F.lit(query_blocks)).alias("query_block"))
     keys = ["dim", "block", "query_block"]
-    found = data.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(block_nearest(k, float(most or 1.0)), FOUND)
+    found = data.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(block_nearest(k), FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
