@@ -299,7 +299,8 @@ def identify(docs: DataFrame, rows_per_lang: int = 1500, margin: float = 1.0) ->
 
 
 def accepted(docs: DataFrame, rows_per_lang: int = 1500, margin: float = 1.0) -> DataFrame:
-    """The rows of docs whose text isn't rejected, all columns as they are."""
+    """The rows of docs whose text isn't rejected, all columns as they are. Where nothing was learned, only texts without
+    letters go."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, rows_per_lang, margin))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +308,8 @@ def accepted(docs: DataFrame, rows_per_lang: int = 1500, margin: float = 1.0) ->
             at = batch.schema.get_field_index("text")
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                _, _, over = judged(shared.value, part.column(at).to_pylist())
+                texts = part.column(at).to_pylist()
+                over = judged(shared.value, texts)[2] if shared.value.langs else np.array([not t or symbols(t).size == 0 for t in texts], bool)
                 yield part.filter(pa.array(~over))
 
     return docs.mapInArrow(run, docs.schema)
