@@ -43,7 +43,8 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), doc_weight=mixing.length_weight(F.col("size")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,32 +94,41 @@ SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
 FROM p
 """
 
-#: Documents in order of rank while their words fit the need, then two that come nearest to what is left.
+#: Documents in order of rank while they fit, in rounds from one that is passed over to the next; then the smallest one
+#: left, if it misses the target by less than the gap.
 _MIXING_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, sum(size * 1.0::DOUBLE) AS weighed FROM d GROUP BY source),
+WITH RECURSIVE
+d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+v AS (SELECT *, CAST(length(bin(size)) AS DOUBLE) AS weight FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3.0::DOUBLE, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0.0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0.0)) AS level
       FROM w WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT *, CASE WHEN cap <= level * weight THEN cap ELSE max(CASE WHEN cap > level * weight THEN level END) OVER () * weight END AS target FROM l),
-g AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS times FROM t),
-n AS (SELECT source, source_size, target, weighed, CAST(floor(times) AS BIGINT) AS sure, times - floor(times) AS fraction, target - floor(times) * source_size AS need FROM g),
-u AS (SELECT d.doc_id, d.source, d.size, n.source_size, n.target, n.sure, n.need,
-             least(greatest(fraction * 1.0::DOUBLE * n.source_size / weighed, 1e-12::DOUBLE), (1 - 1e-12)::DOUBLE) AS p, weighed,
+k AS (SELECT source, weight, CAST(sum(size) AS BIGINT) AS words FROM v GROUP BY source, weight),
+e AS (SELECT k.*, source_size, target, (target - 2.0::DOUBLE * coalesce(sum(words) OVER heavier, 0)) / nullif(sum(k.weight * words) OVER lighter, 0) AS level
+      FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source
+      WINDOW heavier AS (PARTITION BY k.source ORDER BY k.weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lighter AS (PARTITION BY k.source ORDER BY k.weight DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+f AS (SELECT *, CASE WHEN level * weight >= 2 THEN 2.0::DOUBLE ELSE coalesce(max(CASE WHEN level * weight < 2 THEN level END) OVER (PARTITION BY source) * weight, 2.0::DOUBLE) END AS times FROM e),
+g AS (SELECT *, CAST(floor(times) AS BIGINT) AS sure, times - floor(times) AS p FROM f),
+n AS (SELECT source, CAST(round(any_value(target) - sum(sure * words)) AS BIGINT) AS need FROM g GROUP BY source),
+u AS (SELECT v.*, source_size, target, sure, p,
              (CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-      FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source),
-r AS (SELECT *, (u / (1.0::DOUBLE - u)) / CASE WHEN weighed > 0 THEN p / (1.0::DOUBLE - p) ELSE 1.0::DOUBLE END AS rank FROM u),
-c AS (SELECT *, row_number() OVER o AS place, need - sum(size) OVER (o ROWS UNBOUNDED PRECEDING) AS after FROM r WINDOW o AS (PARTITION BY source ORDER BY rank, doc_id NULLS LAST, size)),
-e AS (SELECT source, min(place) FILTER (after < 0) AS stop FROM c GROUP BY source),
-x AS (SELECT c.*, stop, need > 0 AND (stop IS NULL OR place < stop) AS extra FROM c JOIN e ON c.source IS NOT DISTINCT FROM e.source),
-gap AS (SELECT source, max(need) - coalesce(sum(size) FILTER (extra), 0) AS gap FROM x WHERE stop IS NOT NULL GROUP BY source),
-f1 AS (SELECT x.source, arg_min(place, struct_pack(m := abs(gap - size), r := rank, d := doc_id, s := size)) AS place, any_value(gap) AS gap
-       FROM x JOIN gap ON x.source IS NOT DISTINCT FROM gap.source WHERE gap > 0 AND NOT extra AND size > 0 AND abs(gap - size) < abs(gap) GROUP BY x.source),
-g2 AS (SELECT f1.source, f1.place, f1.gap - x.size AS gap FROM f1 JOIN x ON x.source IS NOT DISTINCT FROM f1.source AND x.place = f1.place),
-f2 AS (SELECT x.source, arg_min(x.place, struct_pack(m := abs(gap - size), r := rank, d := doc_id, s := size)) AS place
-       FROM x JOIN g2 ON x.source IS NOT DISTINCT FROM g2.source WHERE gap > 0 AND NOT extra AND size > 0 AND x.place <> g2.place AND abs(gap - size) < abs(gap) GROUP BY x.source)
-SELECT x.doc_id, x.size, x.source_size, x.target, x.size * (sure + CASE WHEN extra OR f1.place IS NOT NULL OR f2.place IS NOT NULL THEN 1 ELSE 0 END) AS taken
-FROM x LEFT JOIN f1 ON x.source IS NOT DISTINCT FROM f1.source AND x.place = f1.place LEFT JOIN f2 ON x.source IS NOT DISTINCT FROM f2.source AND x.place = f2.place
+      FROM v JOIN g ON v.source IS NOT DISTINCT FROM g.source AND v.weight = g.weight),
+r AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u / (1.0::DOUBLE - u)) / (p / (1.0::DOUBLE - p)) END AS rank FROM u),
+c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id NULLS LAST, size) AS place FROM r),
+walk(source, lo, cap, hi, rest) AS (
+  SELECT source, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), need FROM n
+  UNION ALL
+  SELECT source, lo, cap, coalesce(min(place) FILTER (upto > cap), CAST(4e18 AS BIGINT)), CAST(cap - coalesce(max(upto) FILTER (upto <= cap), 0) AS BIGINT)
+  FROM (SELECT c.source, walk.hi AS lo, walk.rest AS cap, place, sum(size) OVER (PARTITION BY c.source ORDER BY place ROWS UNBOUNDED PRECEDING) AS upto
+        FROM walk JOIN c ON c.source IS NOT DISTINCT FROM walk.source AND place > walk.hi AND size <= walk.rest AND rank IS NOT NULL) GROUP BY source, lo, cap),
+x AS (SELECT c.*, EXISTS (SELECT 1 FROM walk WHERE walk.source IS NOT DISTINCT FROM c.source AND place > lo AND place < hi AND size <= cap AND rank IS NOT NULL) AS extra FROM c),
+gap AS (SELECT source, min(rest) AS gap FROM walk GROUP BY source),
+last AS (SELECT x.source, arg_min(place, struct_pack(a := size, b := place)) AS place FROM x JOIN gap ON x.source IS NOT DISTINCT FROM gap.source
+         WHERE NOT extra AND rank IS NOT NULL AND gap > 0 AND size < 2 * gap GROUP BY x.source)
+SELECT x.doc_id, x.size, x.source_size, x.target, CAST(x.size * (sure + CASE WHEN extra OR last.place IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM x LEFT JOIN last ON x.source IS NOT DISTINCT FROM last.source AND x.place = last.place
 """
 
 def licences_sql() -> str:
