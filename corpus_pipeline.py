@@ -30,8 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near duplicates the document of the smallest doc_id stays.
 
     Texts link by their shingles as in the operator's query, and by their distinct words, as copies with a few words
-    changed differ in many shingles; a link by distinct words must also be SIMILAR. Rows without doc_id can't be told apart and stay. An id that several rows have
-    goes only if none of them is its group's smallest.
+    changed differ in many shingles; a link by distinct words must also be SIMILAR. Rows without doc_id can't be told
+    apart and stay. An id that several rows have goes only if none of them is its group's smallest.
     """
     rows = docs.select(*COLUMNS)
     found = simhash.near_duplicates(rows, words_radius=WORDS_RADIUS, least_similar=SIMILAR).where("doc_id is not null")
@@ -45,11 +45,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    rows = docs.select(*COLUMNS)
-    copies = mixing.mix(rows).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies")).withColumnRenamed("doc_id", "_id")
-    taken = rows.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*COLUMNS)
+    """Each document as often as the mix takes it; null and repeated ids are taken row by row."""
+    return mixing.repeated(docs.select(*COLUMNS), doc_weight=mixing.length_weight(F.col("size")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
