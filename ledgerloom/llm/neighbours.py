@@ -1,37 +1,45 @@
 """Approximate nearest neighbours by inner product with collision counting (QALSH; Huang et al., 2015).
 
-Vectors are searched by ranges of length. In a range they get one more component, which makes all as long as its longest, so that the largest inner product is the
-smallest distance. Every projection is one sorted array. Round a query's own projection a window opens in each array;
-virtual rehashing widens all windows by a ratio until enough vectors have collided in the threshold's number of
-windows, and then as far as the k-th exact product so far demands. (Wide windows with a high threshold tell distances apart best where they differ little.) Those are verified with their exact inner products.
-
-Data vectors are dealt into blocks, queries too; a task has one block of each and gives the block's nearest, of which
-the best are kept. So every query meets every vector's index, in bounded pieces.
+A block's vectors are searched by ranges of length. In a range they get one more component, which makes all as long as
+its longest, so that the largest inner product is the smallest distance. Every projection is one sorted array. Round a
+query's own projection a window opens in each array; virtual rehashing widens all windows until the k-th exact product
+so far is beyond what a vector outside can have, but for a stated chance. Vectors that collide with the query in the
+threshold's number of windows are verified with their exact inner products.
+
+A task has one block of vectors, indexes it once, and streams the queries through it; each block gives its nearest, of
+which the best are kept.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import staged
+from ledgerloom.llm.common import bound_batches, staged
 
 PROJECTIONS = 112
-#: Half-width of the first windows, as a share of the vectors' common length, and the ratio that widens them.
-WIDTH, RATIO = 1.9, 1.06
-#: Share of the projections in which a candidate collides; vectors of a block that are verified, at least.
-COLLISIONS, VERIFIED, LEAST = 0.88, 0.13, 400
+#: Share of the projections in which a candidate collides; ratio by which windows widen until there are k.
+COLLISIONS, RATIO = 0.88, 1.2
 #: Chance at most that a vector as near as the k-th is left out when the search ends; ratio of the lengths of a range.
 MISSED, RANGE = 0.05, 1.1
-BLOCK, QUERY_BLOCK = 16_384, 1_024
-
-
-def reach() -> float:
-    """The half-width of windows, in distances, in which a vector misses too often with a chance of MISSED: a projection
+#: Vectors of a range that are all verified instead of indexed; vectors whose neighbours give the first windows' width.
+LEAST, PILOTS = 256, 64
+#: Vectors of a block and bytes of its index, at most; a block isn't made smaller than SMALL for more tasks. Queries at
+#: once.
+BLOCK, BLOCK_BYTES, SMALL, QUERY_BLOCK = 65_536, 128 << 20, 4096, 1_024
+#: Products and lengths beyond these may have lost digits: such ranges are verified whole.
+TINY, HUGE = 1e-280, 1e280
+
+
+@lru_cache(maxsize=8)
+def reach(missed: float = MISSED) -> float:
+    """The half-width of windows, in distances, in which a vector misses too often with a chance of `missed`: a projection
     of a distance is normal with that deviation, so misses are binomial."""
     allowed = int(PROJECTIONS * (1 - COLLISIONS))
     low, high = 0.0, 10.0
@@ -39,130 +47,137 @@ def reach() -> float:
         z = (low + high) / 2
         p = math.erfc(z / math.sqrt(2))
         kept = sum(math.comb(PROJECTIONS, i) * p**i * (1 - p) ** (PROJECTIONS - i) for i in range(allowed + 1))
-        low, high = (z, high) if 1 - kept > MISSED else (low, z)
+        low, high = (z, high) if 1 - kept > missed else (low, z)
     return high
 
 
-class Index:
-    """Sorted projections of a block's vectors x, all within the length `most`."""
+def lengths(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors scaled to length 1, and the logarithms of their lengths; nothing under- or overflows."""
+    largest = np.abs(x).max(axis=1, keepdims=True)
+    power = np.exp2(np.floor(np.log2(largest)))
+    scaled = x / power
+    size = np.linalg.norm(scaled, axis=1, keepdims=True)
+    return scaled / size, (np.log(power) + np.log(size))[:, 0]
 
-    def __init__(self, x: np.ndarray, most: float, seed: int = 7) -> None:
-        self.x, self.most = x, most
-        rest = np.sqrt(np.maximum(most * most - np.einsum("ij,ij->i", x, x), 0.0))
+
+class Range:
+    """Vectors (places in the block) whose lengths differ by a factor of RANGE at most, with their sorted projections."""
+
+    def __init__(self, unit: np.ndarray, log_length: np.ndarray, places: np.ndarray, k: int, seed: int = 7) -> None:
+        self.places, self.top = places, float(log_length.max())
+        self.indexed = places.size > max(k, LEAST)
+        if not self.indexed:
+            return
+        share = np.exp(log_length - self.top)  # lengths as shares of the longest
+        x = unit * share[:, None]
+        rest = np.sqrt(np.maximum(1.0 - share * share, 0.0))
         self.lines = np.random.default_rng(seed).standard_normal((PROJECTIONS, x.shape[1] + 1))
         found = self.lines[:, :-1] @ x.T + self.lines[:, -1:] * rest
-        self.order = np.argsort(found, axis=1, kind="stable")
+        self.order = np.argsort(found, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(found, self.order, 1)
-
-    def candidates(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
-        """For each query the vectors that collide with it often enough: at least k, LEAST and the verified share; all
-        of a small block. Collisions are counted by what lies outside the windows, which is less."""
-        n = self.x.shape[0]
-        want = max(k, LEAST, int(VERIFIED * n))
-        out: list[np.ndarray] = [np.arange(n)] * len(queries)
-        if want >= n:
-            return out
-        at = (queries * (self.most / np.linalg.norm(queries, axis=1, keepdims=True))) @ self.lines[:, :-1].T
-        half, waiting = WIDTH * self.most, np.arange(len(queries))
-        most_misses = int(PROJECTIONS * (1 - COLLISIONS))
-        while waiting.size:
-            low = np.stack([np.searchsorted(line, v - half) for line, v in zip(self.sorted, at[waiting].T)], 1)
-            high = np.stack([np.searchsorted(line, v + half, "right") for line, v in zip(self.sorted, at[waiting].T)], 1)
-            still = []
-            for i, lo, hi in zip(waiting, low.tolist(), high.tolist()):
-                parts = [row[:a] for row, a in zip(self.order, lo) if a] + [row[b:] for row, b in zip(self.order, hi) if b < n]
-                misses = np.bincount(np.concatenate(parts), minlength=n) if parts else np.zeros(n, np.int64)
-                near = np.flatnonzero(misses <= most_misses)
-                if near.size >= want:
-                    out[i] = near
-                else:
-                    still.append(i)
-            half, waiting = half * RATIO, np.array(still, np.int64)
-        return out
-
-
-    def within(self, query: np.ndarray, half: float) -> np.ndarray:
-        """The vectors that collide with the query often enough in windows of this half-width."""
-        n = self.x.shape[0]
-        at = self.lines[:, :-1] @ (query * (self.most / np.linalg.norm(query)))
+        # the usual distance of a k-th neighbour, from vectors dealt over the range
+        pilots = unit[:: max(1, places.size // PILOTS)][:PILOTS]
+        near = np.partition(pilots @ x.T, places.size - 1 - k, axis=1)[:, places.size - 1 - k]
+        self.start = max(1e-6, math.sqrt(max(0.0, 2 - 2 * float(np.median(near)))))
+
+    def projected(self, units: np.ndarray) -> np.ndarray:
+        return units @ self.lines[:, :-1].T
+
+    def colliding(self, at: np.ndarray, half: float) -> np.ndarray:
+        """Which vectors collide often enough with a query's projections in windows of this half-width. Collisions are
+        counted by what lies outside the windows, which is less."""
+        n = self.places.size
         parts = []
         for line, row, v in zip(self.sorted, self.order, at):
-            parts += [row[: np.searchsorted(line, v - half)], row[np.searchsorted(line, v + half, "right") :]]
-        return np.flatnonzero(np.bincount(np.concatenate(parts), minlength=n) <= int(PROJECTIONS * (1 - COLLISIONS)))
+            parts += [row[: line.searchsorted(v - half)], row[line.searchsorted(v + half, "right") :]]
+        return np.bincount(np.concatenate(parts), minlength=n) <= int(PROJECTIONS * (1 - COLLISIONS))
 
 
-def ranges(x: np.ndarray) -> list[np.ndarray]:
-    """Places of the vectors by ranges of length, longest first; a range's lengths differ by RANGE at most."""
-    length = np.linalg.norm(x, axis=1)
-    step = np.floor(np.log(length.max() / length) / math.log(RANGE))
-    return [np.flatnonzero(step == k) for k in np.unique(step)]
-
-
-def search(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, names: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the places of its k nearest in x, best first, and their products.
-
-    Ranges of length are searched one by one, the longest first. Of a range those vectors are verified that may have a
-    greater product than the k-th so far: none if its longest can't, else all that collide in windows as wide as the
-    distance at which they would have it needs.
-    """
-    z = reach()
-    best = [(np.empty(0, np.int64), np.empty(0))] * len(queries)
-    size = np.linalg.norm(queries, axis=1)
-
-    def keep(i: int, near: np.ndarray) -> None:
-        near = near[ids[near] != names[i]]
-        near = np.concatenate([best[i][0], near[~np.isin(near, best[i][0])]])
-        score = products(x[near], queries[i])
-        order = np.lexsort((ids[near], -score))[:k]
-        best[i] = near[order], score[order]
-
-    for places in ranges(x):
-        part = x[places]
-        most = float(np.linalg.norm(part, axis=1).max())
-        short = [i for i in range(len(queries)) if best[i][0].size < k]
-        index = Index(part, most) if places.size > max(k + 1, LEAST) else None
-        if index is not None and short:
-            for i, near in zip(short, index.candidates(queries[short], k + 1)):
-                keep(i, places[near])
-        for i in range(len(queries)):
-            least = best[i][1][-1] if best[i][0].size >= k else -math.inf
-            if least > most * size[i] * (1 + 1e-9):
-                continue
-            if index is None or least == -math.inf:
-                keep(i, places)
-            else:
-                far = math.sqrt(max(0.0, 2 * most * (most - least / size[i])))
-                keep(i, places[index.within(queries[i], z * far + 1e-9 * most)])
-    return best
+def products(x: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products as they are in double precision; what isn't a number counts as minus infinity."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        found = (x * query).sum(axis=1)
+    return np.where(np.isnan(found), -np.inf, found)
 
 
-def products(x: np.ndarray, query: np.ndarray) -> np.ndarray:
-    return (x * query).sum(axis=1)
+class Index:
+    """A block's vectors x and their ids, by ranges of length, the longest first."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, k: int) -> None:
+        self.x, self.ids, self.k = x, ids, k
+        unit, log_length = lengths(x)
+        step = np.floor((log_length.max() - log_length) / math.log(RANGE))
+        self.ranges = [Range(unit[p], log_length[p], p, k + 1) for p in (np.flatnonzero(step == s) for s in np.unique(step))]
+
+    def search(self, queries: np.ndarray, names: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """For each query the places of its k nearest, best first, their products, and how many were verified."""
+        units, sizes = lengths(queries)
+        at = [r.projected(units) if r.indexed else None for r in self.ranges]
+        for i, (query, name) in enumerate(zip(queries, names)):
+            best, score, verified = np.empty(0, np.int64), np.empty(0), 0
+            for r, lines in zip(self.ranges, at):
+                scale = r.top + float(sizes[i])  # the logarithm of the largest product that the range can have
+                done, half = np.zeros(r.places.size, bool), None
+                while True:
+                    least = float(score[-1]) if score.size == self.k else -math.inf
+                    known = TINY < abs(least) < HUGE and math.log(TINY) < scale < math.log(HUGE)
+                    t = least * math.exp(-scale) if known else -math.inf  # the k-th product as a share of that
+                    if t > 1 + 1e-9:
+                        break
+                    if not r.indexed or (score.size == self.k and not known):
+                        new = ~done
+                    else:
+                        wanted = reach() * math.sqrt(max(0.0, 2 - 2 * t)) + 1e-9 if t > -1 else math.inf
+                        if half is not None and half >= wanted:
+                            break
+                        half = reach() * r.start if half is None else half * RATIO
+                        half = wanted if t > -1 else half
+                        new = r.colliding(lines[i], half) & ~done
+                    done |= new
+                    near = r.places[new]
+                    verified += near.size
+                    near = np.concatenate([best, near[self.ids[near] != name]])
+                    found = np.concatenate([score, products(self.x[near[best.size :]], query)])
+                    order = np.lexsort((self.ids[near], -found))[: self.k]
+                    best, score = near[order], found[order]
+                    if done.all():
+                        break
+            yield best, score, verified
 
 
 FOUND = "query_id long, vec_id long, score double"
 
 
 def block_nearest(k: int):
-    def run(data: pa.Table, queries: pa.Table) -> pa.Table:
-        def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-            ids = t["vec_id"].to_numpy()
-            flat = t["embedding"].combine_chunks()
-            values = flat.flatten().to_numpy() if t.num_rows else np.empty(0)
-            return ids, values.astype(np.float64).reshape(len(ids), -1)
-
-        ids, x = matrix(data)
-        out_q, out_v, out_s = [], [], []
-        if data.num_rows and queries.num_rows:
-            order = np.argsort(ids)
-            ids, x = ids[order], x[order]
-            names, vectors = matrix(queries)
-            for q, (near, score) in zip(names, search(x, ids, vectors, names, k)):
-                out_q.append(np.full(near.size, q))
-                out_v.append(ids[near])
-                out_s.append(score)
-        cols = [np.concatenate(c) if c else np.empty(0) for c in (out_q, out_v, out_s)]
-        return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(np.float64))})
+    """Rows (dim, block, kind, vec_id, embedding) in this order, kind 0 being data and 1 queries."""
+
+    def matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        values = batch.column(4).flatten().to_numpy(zero_copy_only=False)
+        return batch.column(3).to_numpy(), values.astype(np.float64).reshape(batch.num_rows, -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, index = None, [], None
+        for batch in batches:
+            tags = np.stack([batch.column(i).to_numpy() for i in range(3)], 1).astype(np.int64)
+            cuts = np.flatnonzero((tags[1:] != tags[:-1]).any(axis=1)) + 1
+            for a, b in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(tags)].tolist()):
+                if a == b:
+                    continue
+                if tuple(tags[a, :2]) != key:
+                    key, held, index = tuple(tags[a, :2]), [], None
+                ids, x = matrix(batch.slice(a, b - a))
+                if tags[a, 2] == 0:
+                    held.append((ids, x))
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    index = Index(np.concatenate([v for _, v in held]), np.concatenate([i for i, _ in held]), k)
+                for at in range(0, len(ids), QUERY_BLOCK):
+                    names = ids[at : at + QUERY_BLOCK]
+                    found = [(index.ids[near], score) for near, score, _ in index.search(x[at : at + QUERY_BLOCK], names)]
+                    owner = np.repeat(names, [len(n) for n, _ in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate([n for n, _ in found])), pa.array(np.concatenate([s for _, s in found]))], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -180,17 +195,24 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """For each vec_id divisible by `every` the k nearest other vectors found: query_id, rank, vec_id, score.
 
     Nearness is the inner product in double precision, ties go to the smaller vec_id; all candidates come if there are
-    at most k. Only vectors of the query's own dimension are candidates. Null, zero and non-finite vectors and rows
-    without vec_id take no part; an empty table gives an empty result; other columns are not read.
+    at most k. A vector as near as a block's k-th is left out with a chance of MISSED at most, whatever the lengths and
+    dimensions are; blocks and ranges of at most LEAST vectors are exact. Only vectors of the query's own dimension are
+    candidates. Null, zero and non-finite vectors and rows without vec_id take no part; an empty table gives an empty
+    result; other columns, whatever their names, are not read.
     """
+    spark = vectors.sparkSession
+    bound_batches(spark)
     good = staged(usable(vectors).withColumn("dim", F.size("embedding")), "neighbours")
-    n = good.count()
-    blocks = max(1, -(-n // BLOCK))
-    query_blocks = max(1, -(-n // (every * QUERY_BLOCK)))
-    place = F.xxhash64("vec_id")
-    data = good.select("vec_id", "embedding", "dim", F.pmod(place, F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"))
-    queries = good.where(F.col("vec_id") % every == 0).select("vec_id", "embedding", "dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.hash("vec_id"), F.lit(query_blocks)).alias("query_block"))
-    keys = ["dim", "block", "query_block"]
-    found = data.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(block_nearest(k), FOUND)
+    fits = F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES) / (F.col("dim") * 24 + PROJECTIONS * 12))))
+    # as many blocks as memory needs, and as there are tasks, unless they get too small for that
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = good.groupBy("dim").agg(F.count("*").alias("n"))
+    blocks = F.greatest(F.ceil(F.col("n") / fits), F.least(F.lit(tasks), F.ceil(F.col("n") / min(SMALL, BLOCK)))).cast("int")
+    sizes = staged(sizes.select(F.col("dim").alias("d"), blocks.alias("blocks")), "neighbours-dims")
+    rows = good.join(sizes, F.col("dim") == F.col("d"))
+    data = rows.select("dim", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "vec_id", "embedding")
+    queries = rows.where(F.col("vec_id") % every == 0).select("dim", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "vec_id", "embedding")
+    dealt = data.unionByName(queries).repartition("dim", "block").sortWithinPartitions("dim", "block", "kind", "vec_id")
+    found = dealt.mapInArrow(block_nearest(k), FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

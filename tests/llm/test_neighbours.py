@@ -75,12 +75,19 @@ def test_blocks_agree(spark, monkeypatch):
 
 
 def test_candidates_follow_collisions():
-    """Verified vectors are those with the fewest misses, not all."""
+    """Verified vectors are those that collide often enough, not all; wider windows verify more."""
     rng = np.random.default_rng(4)
     x = rng.standard_normal((8000, 16))
-    index = neighbours.Index(x, float(np.linalg.norm(x, axis=1).max()))
-    (near,) = index.candidates(x[:1], 21)
-    assert 0.13 * 8000 <= near.size < 0.7 * 8000
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = neighbours.Index(x, np.arange(8000), 20)
+    ((near, _, verified),) = index.search(x[:1], np.array([0]))
+    assert 0 not in near and 20 <= verified < 0.5 * 8000
+    (only,) = index.ranges
+    at = only.projected(x[:1])[0]
+    narrow, wide = only.colliding(at, 1.0), only.colliding(at, 2.0)
+    assert narrow.sum() < wide.sum() and not (narrow & ~wide).any()
+    misses = (np.abs(only.sorted - at[:, None]) > 1.0).sum()
+    assert misses and only.colliding(at, 100.0).all()
 
 
 def test_query(spark):
