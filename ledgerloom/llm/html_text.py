@@ -2,9 +2,11 @@
 
 Every element gets its characters, tags, link characters and link tags. The density is characters per tag, adjusted for
 links; an element's density sum is the sum over its children. The subtree of the largest sum sets a threshold, the
-smallest density on its path to the body; elements above it are searched for their own best subtree, and those
-subtrees' blocks are the text. Elements that never are main text (menus, asides, forms, comments and the like) are left
-out before anything is counted.
+smallest density on its path to the body; elements above it are searched for their own best subtree, and those subtrees
+are chosen. That holds inside article and main elements too; what else such an element has comes with a chosen subtree
+in it, unless links make its density fall below the threshold. Elements that never are main text (menus, asides, forms,
+comments and the like) are left out before anything is counted, but by a class or id alone only if the rest of the page
+has most of the text.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import bound_batches
 
 TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<([!?/])[^>]*+(?:>|\Z)|<[a-zA-Z][^<>]*+(?:\Z|(?=<)|>)""", re.S)
+#: The same without regard to quotes, for what follows a quote that nothing closes: every tag ends at the next bracket.
+PLAIN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)(?:>|\Z|(?=<))|<([!?/])[^>]*+(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: Elements by kind (HTML standard).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -29,96 +34,145 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 ENDS_P = BLOCK - frozenset("body html caption tbody td tfoot th thead tr legend optgroup option".split())
 NEVER = frozenset("nav footer aside form script style noscript iframe template svg canvas object select button menu dialog textarea title head noembed noframes input math audio video map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-NAMES = frozenset("nav navbar navigation menu submenu breadcrumb breadcrumbs header masthead topbar footer foot colophon sidebar aside rail widget widgets ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promotions cookie cookies consent gdpr notice notices notification alert disclaimer popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus discussion respond reply replies pagination pager toolbar skip hidden copyright form search side sidenav subnav topnav topmenu leftnav rightnav mainmenu navmenu announcement announcements responses remarks guestbook outbrain taboola teaser teasers".split())
-REMARKS = frozenset("comment comments commentlist disqus reply replies respond related promo sponsored ad advert".split())
+#: Class and id words of side matter, of reader comments, and words that make a name a state of the page instead.
+NAMES = frozenset("nav navbar navigation menu submenu breadcrumb breadcrumbs header masthead topbar footer foot colophon sidebar aside rail widget widgets ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promotions cookie cookies consent gdpr notice notices notification alert disclaimer popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager toolbar skip hidden copyright form search side sidenav subnav topnav topmenu leftnav rightnav mainmenu navmenu announcement announcements outbrain taboola teaser teasers".split())
+REMARKS = frozenset("comment comments commentlist disqus discussion respond reply replies responses remarks guestbook".split())
+STATES = frozenset("has with no not without enabled disabled open closed on off free sticky layout xs sm md lg xl".split())
+#: Ids that mark side matter inside an article; there, names say nothing of elements of running text.
+IDS = frozenset("comments respond disqus_thread sidebar newsletter share sharing related".split())
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption caption span b i em strong a u s q cite code mark small sub sup abbr time label".split())
 #: An open element of the key's name is closed by a start of one of these, up to the nearest of the second set.
 CLOSED_BY = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
+#: Share of link characters from which an element whose density is below the threshold is side matter.
+LINKED = 0.5
 
 
 class Node:
-    __slots__ = ("name", "kids", "parent", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total", "inside", "best")
+    __slots__ = ("name", "kids", "parent", "depth", "block", "drop", "named", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
 
-    def __init__(self, name: str, parent: Node | None, drop: bool) -> None:
-        self.name, self.parent, self.drop = name, parent, drop
+    def __init__(self, name: str, parent: Node | None) -> None:
+        self.name, self.parent, self.drop, self.named = name, parent, False, ""
+        self.depth = 0 if parent is None else parent.depth + 1
         self.inside = parent is not None and (parent.inside or parent.name in ("article", "main"))
+        self.block = self if name in BLOCK or parent is None else parent.block
         self.kids: list[Node | str] = []
 
+    def elements(self) -> Iterator[Node]:
+        return (k for k in self.kids if isinstance(k, Node) and not k.drop)
 
-def unwanted(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element never is main text; inside: within an article or main element."""
-    if name in NEVER or name == "header" and not inside:
-        return True
-    if not attributes or name in ("html", "body"):
-        return False
-    names = REMARKS if name in ("article", "main") else NAMES - {"header"} if inside else NAMES
+
+def says(value: str, names: frozenset[str]) -> bool:
+    """Whether a class or id has one of the names as a word of its own, or as first or last part of one."""
+    for word in value.split():
+        parts = [x for x in re.split(r"[^a-z]+", word) if x]
+        if parts and not STATES.intersection(parts) and (parts[0] in names or parts[-1] in names):
+            return True
+    return False
+
+
+def judge(node: Node, attributes: str) -> None:
+    """Sets drop if an element never is main text; named, if only its class or id says so (side or remark)."""
+    if node.name in NEVER or node.name == "header" and not node.inside:
+        node.drop = True
+        return
+    if not attributes or node.name in ("html", "body"):
+        return
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), (a or b or c).lower()
         if key == "hidden" or key == "role" and value in ROLES or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        words = [w for w in value.split() if not w.startswith(("has-", "with-", "no-"))]
-        if key in ("class", "id") and any(x in names for w in words for x in re.split(r"[^a-z]+", w)):
-            return True
-    return False
+            node.drop = True
+            return
+        if key not in ("class", "id") or node.inside and node.name in TEXT:
+            continue
+        if key == "id" and node.inside and node.name not in ("article", "main"):
+            node.named = ("remark" if says(value, REMARKS) else "side") if value.strip() in IDS else node.named
+        elif says(value, REMARKS):
+            node.named = "remark"
+        elif says(value, NAMES) and not node.named and node.name not in ("article", "main"):
+            node.named = "side"
+        elif node.name == "article" and says(value, frozenset(("promo", "sponsored", "ad", "advert", "related", "teaser"))) and not node.named:
+            node.named = "side"
+
+
+class Open:
+    """The open elements: the current one, and a stack by name, so that nothing is looked for in vain."""
+
+    def __init__(self, root: Node) -> None:
+        self.node, self.by_name = root, {root.name: [root]}
+
+    def add(self, child: Node) -> None:
+        self.node = child
+        self.by_name.setdefault(child.name, []).append(child)
+
+    def close(self, last: Node) -> None:
+        """Closes all elements from the current one up to `last`, which isn't the root."""
+        while True:
+            done = self.node
+            self.by_name[done.name].pop()
+            self.node = done.parent
+            if done is last:
+                return
+
+    def nearest(self, names: tuple[str, ...]) -> Node | None:
+        return max((s[-1] for n in names if (s := self.by_name.get(n))), key=lambda x: x.depth, default=None)
+
+    def outermost(self, names: tuple[str, ...], below: int) -> Node | None:
+        """The outermost open element of the names that is deeper than `below`."""
+        found = [s[i] for n in names if (s := self.by_name.get(n)) and (i := bisect_right(s, below, key=lambda x: x.depth)) < len(s)]
+        return min(found, key=lambda x: x.depth, default=None)
 
 
 def parse(page: str) -> Node:
-    """The page's element tree; end tags that match nothing are skipped, open elements end with their parent."""
-    root = node = Node("html", None, False)
-    at = 0
+    """The page's element tree; end tags that match nothing are skipped, open elements end with their parent. Every
+    step costs what it reads or closes, so that hostile pages take no longer than others of their length."""
+    root = Node("html", None)
+    tree, token, at, body = Open(root), TOKEN, 0, False
     while True:
-        m = TOKEN.search(page, at)
+        m = token.search(page, at)
         if m is None:
-            node.kids.append(page[at:])
+            tree.node.kids.append(page[at:])
             return root
+        if token is TOKEN and not m[2] and not m[4] and not m[0].startswith("<!--"):
+            token = PLAIN
+            continue
         if m.start() > at:
-            node.kids.append(page[at : m.start()])
+            tree.node.kids.append(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             continue
         if m[1]:
-            up = node
-            while up is not None and up.name != name:
-                up = up.parent
-            if up is not None and up is not root:
-                node = up.parent
+            found = tree.by_name.get(name)
+            if found and found[-1] is not root:
+                tree.close(found[-1])
             elif name == "br":
-                node.kids.append(" ")
+                tree.node.kids.append(" ")
             continue
-        if name in ENDS_P:
-            up = node
-            while up is not None and up.name != "p" and (up.name not in BLOCK):
-                up = up.parent
-            if up is not None and up.name == "p":
-                node = up.parent
+        if name in ENDS_P and tree.node.block.name == "p":
+            tree.close(tree.node.block)
         if name in CLOSED_BY:
             names, stop = CLOSED_BY[name]
-            up, last = node, None
-            while up is not None and up.name not in stop:
-                if up.name in names:
-                    last = up
-                up = up.parent
+            edge = tree.nearest(stop)
+            last = tree.outermost(names, edge.depth if edge else 0)
             if last is not None:
-                node = last.parent
+                tree.close(last)
         if name in ("html", "body"):
-            if name == "body":
-                while node.name == "head":
-                    node = node.parent
-            if name == "html" or any(isinstance(x, Node) and x.name == "body" for x in root.kids):
+            if name == "body" and tree.by_name.get("head"):
+                tree.close(tree.by_name["head"][0])
+            if name == "html" or body:
                 continue
-        elif node.name == "head" and name not in RAW and name not in ("meta", "link", "base", "template"):
-            node = node.parent
-        child = Node(name, node, False)
-        child.drop = unwanted(name, m[3], child.inside)
-        node.kids.append(child)
+            body = True
+        elif tree.node.name == "head" and name not in RAW and name not in ("meta", "link", "base", "template"):
+            tree.close(tree.node)
+        child = Node(name, tree.node)
+        judge(child, m[3])
+        tree.node.kids.append(child)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             child.drop = True
             at = end.end() if end else len(page)
-        elif name not in VOID and not m[3].endswith("/"):
-            node = child
-        elif name not in VOID and name not in BLOCK and m[3].endswith("/") and name != "svg":
-            node = child
+        elif name not in VOID and (not m[3].endswith("/") or name not in BLOCK and name != "svg"):
+            tree.add(child)
 
 
 def tree_order(root: Node) -> list[Node]:
@@ -127,13 +181,12 @@ def tree_order(root: Node) -> list[Node]:
     while todo:
         node = todo.pop()
         order.append(node)
-        todo.extend(k for k in reversed(node.kids) if isinstance(k, Node) and not k.drop)
+        todo.extend(reversed(list(node.elements())))
     return order
 
 
-def weigh(order: list[Node]) -> None:
-    """Sets every element's composite density, the sum over its children, and its subtree's element of the largest sum
-    (the first of equal ones)."""
+def count(order: list[Node]) -> None:
+    """Sets every element's characters, tags, link characters and link tags."""
     for node in reversed(order):
         node.chars = node.tags = node.link_chars = node.link_tags = 0
         for k in node.kids:
@@ -146,6 +199,35 @@ def weigh(order: list[Node]) -> None:
                 node.link_tags += k.link_tags + (k.name == "a")
         if node.name == "a":
             node.link_chars = node.chars
+
+
+def drop_named(root: Node) -> None:
+    """Drops elements whose class or id says that they are side matter, but for one that is the page's frame (or its
+    article's): an h1, article or main element in it has more than half of the text; or it has every such element and a
+    quarter of the text; or there is none, and it has more than half. Reader comments may well be longer than what they
+    are about: for those only the first will do."""
+    order = tree_order(root)
+    count(order)
+    most: dict[int, int] = {}  # characters of an element's largest article or main element; of an h1, its own
+    heads: dict[int, int] = {}  # how many of these an element has, itself included
+    whole: dict[int, int] = {}  # characters of the article or page that an element is in
+    for node in reversed(order):
+        is_head = node.name in ("h1", "article", "main") and not node.named and node.chars > 0
+        most[id(node)] = max([node.chars * is_head, *(most[id(k)] for k in node.elements())])
+        heads[id(node)] = is_head + sum(heads[id(k)] for k in node.elements())
+    for node in order:
+        up = node.parent
+        whole[id(node)] = node.chars if up is None or node.name in ("article", "main") and not node.named else whole[id(up)]
+        if node.named and up is not None:
+            text = whole[id(up)]
+            alone = node.named == "side" and heads[id(node)] == heads[id(root)]
+            node.drop = not (2 * most[id(node)] > text or alone and (4 if heads[id(node)] else 2) * node.chars > text)
+
+
+def weigh(order: list[Node]) -> None:
+    """Sets every element's composite density, the sum over its children, and its subtree's element of the largest sum
+    (the first of equal ones)."""
+    count(order)
     body = order[0]
     share = body.link_chars / max(1, body.chars)
     for node in reversed(order):
@@ -154,32 +236,16 @@ def weigh(order: list[Node]) -> None:
         if c:
             base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
             node.density = c / t * max(0.0, math.log(c / max(1, lc) * t / max(1, lt))) / math.log(max(base, math.e))
-        node.total = sum(k.density for k in node.kids if isinstance(k, Node) and not k.drop) + (c / t if any(isinstance(k, str) and k.strip() for k in node.kids) else 0.0)
-        node.best = max([node, *(k.best for k in node.kids if isinstance(k, Node) and not k.drop)], key=lambda x: x.total)
-
+        node.total = sum(k.density for k in node.elements()) + (c / t if any(isinstance(k, str) and k.strip() for k in node.kids) else 0.0)
+        node.best = max([node, *(k.best for k in node.elements())], key=lambda x: x.total)
 
-def chosen(root: Node) -> list[Node]:
-    """The subtrees that are main text, in page order.
 
-    An article or main element that holds the best subtree, or most of its characters, is taken whole.
-    """
-    order = tree_order(root)
-    weigh(order)
-    start = next((x for x in order if x.name == "body" and x.chars), root)
-    if not start.chars:
-        return []
-    top = start.best
-    limit, up, holder = top.density, top, None
-    while up is not None:
-        if up.name in ("article", "main"):
-            holder = up
-        if up is start:
-            break
+def dense(start: Node) -> tuple[list[Node], float]:
+    """The subtrees that the method chooses, in page order, and its threshold."""
+    limit, up = start.best.density, start.best
+    while up is not start:
         up = up.parent
         limit = min(limit, up.density)
-    inner = [x for x in tree_order(top) if x.name in ("article", "main") and 2 * x.chars > top.chars]
-    if holder or inner:
-        return [holder or inner[0]]
     marked = {id(x.best) for x in tree_order(start) if x.chars and x.density >= limit}
     found, todo = [], [start]
     while todo:
@@ -187,8 +253,41 @@ def chosen(root: Node) -> list[Node]:
         if id(node) in marked:
             found.append(node)
         else:
-            todo.extend(k for k in reversed(node.kids) if isinstance(k, Node) and not k.drop)
-    return found
+            todo.extend(reversed(list(node.elements())))
+    return found, limit
+
+
+def chosen(root: Node) -> list[Node]:
+    """The subtrees that are main text, in page order.
+
+    A chosen subtree inside an article or main element brings that element; one that has such elements with more than
+    half of its text is those of them that reach the threshold. In what comes so, elements that are mostly links and
+    whose density is below the threshold are dropped.
+    """
+    drop_named(root)
+    order = tree_order(root)
+    weigh(order)
+    start = next((x for x in order if x.name == "body" and x.chars), root)
+    if not start.chars:
+        return []
+    found, limit = dense(start)
+    out: list[Node] = []
+    for node in found:
+        holder, up = None, node
+        while up is not start.parent:
+            holder = up if up.name in ("article", "main") else holder
+            up = up.parent
+        if holder is None:
+            inner = [x for x in tree_order(node) if x.name in ("article", "main") and not x.inside and x.chars]
+            inner = inner if 2 * sum(x.chars for x in inner) > node.chars else []
+            out += [x for x in inner if x.density >= limit] or inner[:1] or [node]
+        elif holder not in out[-1:]:
+            out.append(holder)
+    for top in out:
+        for node in tree_order(top)[1:]:
+            if node.name not in TEXT and node.link_tags > 1 and node.link_chars > LINKED * node.chars and node.density < limit:
+                node.drop = True
+    return out
 
 
 def blocks(node: Node) -> Iterator[str]:
@@ -204,7 +303,7 @@ def blocks(node: Node) -> Iterator[str]:
     while todo:
         x = todo.pop()
         if x is None:
-            yield from close()
+            yield from close()  # an element's end
         elif isinstance(x, str):
             text.append(html.unescape(x))
         elif x.name == "br":
