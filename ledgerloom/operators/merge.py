@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scalars import conflict_id
+from ledgerloom.functions.scalars import conflict_id, version_stamp
 
+#: An import's modes, strategies and ways to treat a deletion here and an edit there; decide() has the
+#: names of outcomes and rules.
 MODES = ("merge", "replace", "supplement_only")
 STRATEGIES = ("abort", "converge")
 DELETE_EDIT = ("conflict", "edit_wins_by_lww")
@@ -118,20 +120,33 @@ def counters(decisions: DataFrame) -> DataFrame:
 
 
 def conflicts(remote: DataFrame, local: DataFrame, decisions: DataFrame, job: str, entity: str, now_ms: int) -> DataFrame:
-    """The review queue: conflict_id, entity, record_id, kind, and both versions as JSON."""
+    """The review queue: conflict_id, entity, record_id, kind, and both versions (stamp, content hash, deleted) as JSON."""
     rows = decisions.where("outcome = 'conflict'").select("id", "conflict_kind")
-    as_json = lambda df, name: df.select("id", F.to_json(F.struct(*sorted(c for c in df.columns if c != "content_hash")), {"ignoreNullFields": "false"}).alias(name))
+    version = F.struct(version_stamp(F.coalesce("updated_at", F.lit(0)), F.coalesce("device_id", F.lit(""))).alias("versionStamp"), F.col("content_hash").alias("contentHash"), F.col("deleted_at").isNotNull().alias("deleted"))
+    as_json = lambda df, name: df.select("id", F.to_json(version, {"ignoreNullFields": "false"}).alias(name))
     out = rows.join(as_json(local, "local_json"), "id", "left").join(as_json(remote, "remote_json"), "id", "left")
     key = conflict_id(now_ms, F.lit(job), F.lit(entity), F.col("id").cast("string"), F.col("conflict_kind"))
     return out.select(key.alias("conflict_id"), F.lit(entity).alias("entity"), F.col("id").alias("record_id"), F.col("conflict_kind").alias("kind"), "local_json", "remote_json")
 
 
+class Conflicts(ValueError):
+    """An aborting import met conflicts."""
+
+    failure = "conflicts"
+
+
+class Unconfirmed(ValueError):
+    """An import would remove rows and nobody said that it may."""
+
+    failure = "unconfirmed_removals"
+
+
 def guard(decisions: DataFrame, removal_rows: DataFrame | None = None, strategy: str = "abort", allow_removals: bool = False) -> None:
     """Raises before anything is written: conflicts when aborting, removals that nobody confirmed."""
     if removal_rows is not None and not allow_removals and not removal_rows.isEmpty():
-        raise ValueError(f"{removal_rows.count()} rows would be removed; allow_removals confirms that")
+        raise Unconfirmed(f"{removal_rows.count()} rows would be removed; allow_removals confirms that")
     if strategy == "abort" and not decisions.where("outcome = 'conflict'").isEmpty():
-        raise ValueError("conflicts in an aborting import")
+        raise Conflicts("conflicts in an aborting import")
 
 
 def write_order(writes: DataFrame) -> DataFrame:

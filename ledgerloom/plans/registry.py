@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars
-from ledgerloom.operators import balance, checks, lists, merge, repair, versions, writes
+from ledgerloom.operators import balance, checks, importer, lists, merge, repair, versions, writes
 from ledgerloom.plans import sql
 from ledgerloom.sources import adapter, changeset, seed
 from ledgerloom.sources.store import scratch
@@ -213,9 +213,11 @@ def version_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapter.replica(spark, sf_dir, "remote").select("id", scalars.version_stamp(F.col("updated_at"), F.col("device_id")).alias("version_stamp"))
 
 
-@query(sql.with_(sql.LOCAL) + "SELECT id, content_hash FROM local")
+@query(sql.with_(sql.ACCOUNT) + """SELECT id, sha256('{"currency":"' || currency || '","deleted_at":' || coalesce(CAST(deleted_at AS VARCHAR), 'null') || ',"id":' || id || ',"name":"' || name || '","opening_balance_minor":' || opening_balance_minor || ',"repay_account_id":' || coalesce(CAST(repay_account_id AS VARCHAR), 'null') || '}') AS content_hash FROM account""")
 def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapter.replica(spark, sf_dir, "local").select("id", "content_hash")
+    """The importer's hash over the columns that a record carries; the columns that differ by device stay out."""
+    rows = adapter.accounts(spark, sf_dir).withColumns({"rev": F.col("id"), "updated_at": F.col("id"), "device_id": F.lit("x")})
+    return rows.select("id", importer.fingerprint(["name", "id", "currency", "rev", "updated_at", "device_id", "opening_balance_minor", "repay_account_id", "deleted_at"]).alias("content_hash"))
 
 
 # versions
@@ -279,11 +281,14 @@ def merge_next_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.next_state(local, remote, merge.decide(remote, local, "merge", "converge"))
 
 
-@query(CONVERGED + f"SELECT {ulid_sql(str(NOW), 'h')} AS conflict_id, 'account' AS entity, id AS record_id, conflict_kind AS kind FROM (SELECT *, sha256('job-1|account|' || id || '|' || conflict_kind) AS h FROM decided WHERE outcome = 'conflict')")
+def version_json(side: str) -> str:
+    return f"""'{{"versionStamp":"' || {ulid_sql(f'{side}_at', f'{side}_h')} || '","contentHash":"' || {side}_hash || '","deleted":' || ({side}_gone IS NOT NULL) || '}}'"""
+
+
+@query(CONVERGED + f"SELECT {ulid_sql(str(NOW), 'h')} AS conflict_id, 'account' AS entity, id AS record_id, conflict_kind AS kind, {version_json('l')} AS local_json, {version_json('r')} AS remote_json FROM (SELECT d.id, conflict_kind, sha256('job-1|account|' || d.id || '|' || conflict_kind) AS h, l.updated_at AS l_at, sha256(l.device_id) AS l_h, l.content_hash AS l_hash, l.deleted_at AS l_gone, r.updated_at AS r_at, sha256(r.device_id) AS r_h, r.content_hash AS r_hash, r.deleted_at AS r_gone FROM decided d JOIN local l ON d.id = l.id JOIN remote r ON d.id = r.id WHERE outcome = 'conflict')")
 def merge_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     remote, local = both(spark, sf_dir)
-    rows = merge.conflicts(remote, local, merge.decide(remote, local, "merge", "converge"), "job-1", "account", NOW)
-    return rows.select("conflict_id", "entity", "record_id", "kind")
+    return merge.conflicts(remote, local, merge.decide(remote, local, "merge", "converge"), "job-1", "account", NOW)
 
 
 @query(sql.with_(sql.LOCAL, sql.REMOTE) + f"SELECT id, ledger_id, name, balance, CAST({NOW} AS BIGINT) AS updated_at, 'device-a' AS device_id, CAST({NOW} AS BIGINT) AS deleted_at, content_hash FROM local WHERE deleted_at IS NULL AND ledger_id = 7 AND id NOT IN (SELECT id FROM remote)")
@@ -305,6 +310,7 @@ def most_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapter.accounts(spark, sf_dir).where("id % 10 <> 0")
 
 
+COMMON = f"CAST({NOW} AS BIGINT) AS created_at, CAST({NOW} AS BIGINT) AS updated_at, CAST(NULL AS BIGINT) AS deleted_at, 'device-a' AS device_id, CAST(1 AS BIGINT) AS rev"
 SOME = "most AS (SELECT * FROM account WHERE id % 10 <> 0)"
 
 
@@ -322,19 +328,20 @@ def orphan_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     sql.with_(sql.ACCOUNT, sql.TXN, SOME)
-    + f"""SELECT id, arg_min(ledger_id, k) AS ledger_id, CAST(1 AS BIGINT) AS type, 'CNY' AS currency, CAST(0 AS BIGINT) AS opening_balance_minor, CAST(1 AS BIGINT) AS is_archived, 'device-a' AS device_id, CAST({NOW} AS BIGINT) AS updated_at
+    + f"""SELECT id, arg_min(ledger_id, k) AS ledger_id, 'missing account' AS name, CAST(1 AS BIGINT) AS type, 'CNY' AS currency, CAST(0 AS BIGINT) AS opening_balance_minor, CAST(NULL AS BIGINT) AS credit_limit_minor, CAST(NULL AS VARCHAR) AS repay_account_id,
+  CAST(1 AS BIGINT) AS is_archived, CAST(0 AS BIGINT) AS sort_order, {COMMON}
 FROM (SELECT account_id AS id, ledger_id, struct_pack(r := 1, b := id, v := 'account_id') AS k FROM txn
       UNION ALL SELECT to_account_id, ledger_id, struct_pack(r := 1, b := id, v := 'to_account_id') FROM txn WHERE to_account_id IS NOT NULL
       UNION ALL SELECT repay_account_id, ledger_id, struct_pack(r := 0, b := id, v := 'repay_account_id') FROM most WHERE repay_account_id IS NOT NULL)
 WHERE id NOT IN (SELECT id FROM most) GROUP BY id"""
 )
 def placeholder_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair.placeholder_accounts(adapter.txns(spark, sf_dir), most_accounts(spark, sf_dir), "device-a", NOW)
+    return repair.placeholder_accounts(adapter.txns(spark, sf_dir), most_accounts(spark, sf_dir), "device-a", NOW).drop("statement_day", "due_day", "icon", "color", "note")
 
 
-@query(T + f"SELECT category_id AS id, arg_min(ledger_id, id) AS ledger_id, CAST(CASE WHEN arg_min(type, id) = 2 THEN 2 ELSE 1 END AS BIGINT) AS kind, 'missing ' || right(category_id, 8) AS name, CAST(1 AS BIGINT) AS is_hidden, 'device-a' AS device_id, CAST({NOW} AS BIGINT) AS updated_at FROM txn WHERE category_id IS NOT NULL GROUP BY category_id")
+@query(T + f"SELECT category_id AS id, arg_min(ledger_id, id) AS ledger_id, CAST(CASE WHEN arg_min(type, id) = 2 THEN 2 ELSE 1 END AS BIGINT) AS kind, 'missing ' || right(category_id, 8) AS name, CAST(0 AS BIGINT) AS is_system, CAST(1 AS BIGINT) AS is_hidden, CAST(0 AS BIGINT) AS sort_order, {COMMON} FROM txn WHERE category_id IS NOT NULL GROUP BY category_id")
 def placeholder_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair.placeholder_categories(adapter.txns(spark, sf_dir), adapter.categories(spark, sf_dir), "device-a", NOW)
+    return repair.placeholder_categories(adapter.txns(spark, sf_dir), adapter.categories(spark, sf_dir), "device-a", NOW).drop("parent_id", "icon", "color")
 
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -366,11 +373,11 @@ TREE = f"""tree AS (SELECT c_custkey AS id, CASE
     "WITH RECURSIVE "
     + TREE
     + """, walk AS (
-  SELECT t.id, t.parent_id, p.parent_id AS next, [t.id, t.parent_id] AS path, 1 AS depth,
-         CASE WHEN p.id IS NULL THEN 'missing' WHEN t.parent_id = t.id THEN 'cycle' WHEN p.deleted_at IS NOT NULL THEN 'deleted' END AS reason
+  SELECT t.id, t.parent_id, CASE WHEN p.deleted_at IS NULL THEN p.parent_id END AS next, [t.id, t.parent_id] AS path, 1 AS depth,
+         CASE WHEN t.parent_id = t.id THEN 'cycle' WHEN p.id IS NULL THEN 'missing' WHEN p.deleted_at IS NOT NULL THEN 'deleted' END AS reason
   FROM tree t LEFT JOIN tree p ON t.parent_id = p.id WHERE t.parent_id IS NOT NULL
   UNION ALL
-  SELECT w.id, w.parent_id, p.parent_id, list_append(w.path, w.next), w.depth + 1, CASE WHEN list_contains(w.path, w.next) THEN 'cycle' WHEN w.depth >= 8 THEN 'too_deep' END
+  SELECT w.id, w.parent_id, CASE WHEN p.deleted_at IS NULL THEN p.parent_id END, list_append(w.path, w.next), w.depth + 1, CASE WHEN list_contains(w.path, w.next) THEN 'cycle' WHEN w.depth >= 8 THEN 'too_deep' END
   FROM walk w LEFT JOIN tree p ON w.next = p.id WHERE w.reason IS NULL AND w.next IS NOT NULL)
 SELECT id, parent_id, reason FROM walk WHERE reason IS NOT NULL"""
 )

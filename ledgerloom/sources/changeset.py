@@ -50,6 +50,7 @@ class Spec:
         return next(f for f in self.fields if f.key == key)
 
 
+#: Record types, their keys on the wire, columns and defaults.
 SPECS = {
     s.type: s
     for s in (

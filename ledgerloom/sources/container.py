@@ -35,6 +35,32 @@ LAYOUT = ">8sHHHBBIIBBHHHQII16s8s12s8sHH32s"
 class ContainerError(ValueError):
     """A file that isn't a container, or is damaged."""
 
+    failure = "damaged"
+
+
+class NotAContainer(ContainerError):
+    failure = "not_a_container"
+
+
+class NewerFormat(ContainerError):
+    failure = "newer_format"
+
+
+class BadHeader(ContainerError):
+    failure = "damaged_header"
+
+
+class OddParameters(ContainerError):
+    """Algorithms, flags or key parameters that no writer of this format sets."""
+
+    failure = "odd_parameters"
+
+
+class WrongKey(ContainerError):
+    """The file is as it was written, so a chunk that doesn't open has another key."""
+
+    failure = "wrong_key"
+
 
 @dataclass(frozen=True)
 class Header:
@@ -62,18 +88,18 @@ class Header:
     @classmethod
     def decode(cls, data: bytes) -> Header:
         if len(data) < HEADER:
-            raise ContainerError("truncated header")
+            raise BadHeader("truncated header")
         magic, version, least, flags, kdf, aead, kib, passes, lanes, out, salt_n, prefix_n, chunk_kib, plain, count, crc, salt, prefix, first, volume_set, volume, volumes, digest = struct.unpack(LAYOUT, data[:HEADER])
         if magic != MAGIC:
-            raise ContainerError("not a container")
+            raise NotAContainer("not a container")
         if version > VERSION or least > VERSION:
-            raise ContainerError("a newer format")
+            raise NewerFormat("a newer format")
         if crc != zlib.crc32(data[: FIXED - 4]):
-            raise ContainerError("header checksum")
+            raise BadHeader("header checksum")
         if (kdf, aead, out, salt_n, prefix_n) != (KDF_ARGON2ID, AEAD_AES256GCM, 32, 16, 8) or flags & ~63 or not flags & AESGCM:
-            raise ContainerError("unknown algorithms or flags")
+            raise OddParameters("unknown algorithms or flags")
         if first != prefix + bytes(4):
-            raise ContainerError("first nonce")
+            raise BadHeader("first nonce")
         return cls(salt, prefix, plain, count, flags, kib, passes, lanes, chunk_kib, volume_set, volume, volumes, digest, version, least)
 
 
@@ -157,7 +183,7 @@ def open_file(spark: SparkSession, file: bytes, key: bytes) -> bytes:
     frame = spark.createDataFrame(rows, "i int, nonce binary, box binary, aad binary").select("i", gcm_open(F.col("box"), F.lit(bytearray(key)), F.col("nonce"), F.col("aad")).alias("plain"))
     parts = dict(map(tuple, frame.collect()))
     if any(p is None for p in parts.values()):
-        raise ContainerError("wrong key")
+        raise WrongKey("wrong key")
     return b"".join(bytes(parts[i]) for i in range(len(chunks)))
 
 

@@ -120,6 +120,73 @@ def test_broken_payloads(spark, change):
         payload.decode(b"\n".join(change(lines)))
 
 
-def test_triage():
-    assert importer.triage("decrypt", "authentication") == "wrong_password"
-    assert importer.triage("integrity", "anything") == "damaged" and importer.triage("header", "version") == "newer_version"
+def test_failures_are_named_where_they_are_raised():
+    assert importer.failure(container.WrongKey("x")) == "wrong_key" and importer.failure(container.NewerFormat("x")) == "newer_format"
+    assert importer.failure(container.ContainerError("x")) == "damaged" and importer.failure(KeyError("x")) == "damaged"
+    assert importer.failure(payload.NewerPayload("x")) == "newer_format" and importer.failure(payload.PayloadError("x")) == "invalid_payload"
+    assert importer.failure(importer.Refused("x")) == "invalid_records" and importer.failure(importer.BrokenReferences("x")) == "broken_references"
+
+
+def local_ledger(spark):
+    """The sample with columns that change sets don't carry."""
+    tables = seed.sample(spark)
+    tables["txn"] = tables["txn"].withColumns({"source_import_job": F.lit("job-0"), "merchant": F.lit("shop"), "note": F.col("id")})
+    tables["account"] = tables["account"].withColumns({"cached_balance_minor": F.lit(7).cast("long"), "balance_as_of": F.lit(7).cast("long"), "note": F.lit("mine")})
+    return tables
+
+
+def test_records_set_only_the_columns_that_they_carry(spark):
+    tables = local_ledger(spark)
+    records = {k: df.drop("merchant", "note", "source_import_job", "cached_balance_minor", "balance_as_of") for k, df in tables.items()}
+    for strategy in ("abort", "converge"):
+        state, report = importer.apply_import(tables, records, importer.Options(strategy=strategy, now_ms=9))
+        assert sum(c["skipped"] for c in report.counters.values()) == 8 and report.conflicts.isEmpty()
+        assert seed.differences({k: tables[k] for k in tables if k != "account"}, {k: state[k] for k in state if k != "account"}) == []
+        assert {r["id"]: (r["cached_balance_minor"], r["note"]) for r in state["account"].collect()} == {"A1": (337150, "mine"), "A2": (50000, "mine")}
+    later = {"txn": records["txn"].withColumns({"amount_minor": F.col("amount_minor") + 5, "updated_at": F.col("updated_at") + 100_000})}
+    state, report = importer.apply_import(tables, later, importer.Options(strategy="converge", now_ms=9))
+    assert report.counters["txn"]["updated"] == 3
+    assert {(r["merchant"], r["note"] == r["id"], r["source_import_job"]) for r in state["txn"].collect()} == {("shop", True, "job-0")}
+    new = {"account": records["account"].withColumn("id", F.concat("id", F.lit("x"))).withColumn("cached_balance_minor", F.lit(99).cast("long"))}
+    state, _ = importer.apply_import(tables, new, importer.Options(now_ms=9))
+    assert {r["id"]: (r["note"], r["cached_balance_minor"], r["balance_as_of"]) for r in state["account"].collect() if r["id"].endswith("x")} == {"A1x": (None, 100_000, 0), "A2x": (None, 0, 0)}
+
+
+def test_repair_comes_before_the_decisions(spark):
+    """Placeholders are complete, also for budgets and repayments, and made for the records' references alone."""
+    tables = local_ledger(spark)
+    tables["budget"] = spark.createDataFrame([("B0", "L1", "OLD-GONE", "CNY", 1, 1, 1, None, "d", 1)], "id string, ledger_id string, category_id string, currency string, amount_minor long, created_at long, updated_at long, deleted_at long, device_id string, rev long")
+    budget = tables["budget"].withColumns({"id": F.lit("B1"), "category_id": F.lit("0123456789")})
+    account = tables["account"].where("id = 'A2'").withColumns({"repay_account_id": F.lit("PAYER"), "updated_at": F.lit(BASE := 1_758_000_200_000).cast("long")})
+    tables["account"] = tables["account"].withColumn("repay_account_id", F.lit(None).cast("string"))
+    txn = tables["txn"].where("id = 'T2'").withColumns({"id": F.lit("T9"), "account_id": F.lit("LOST"), "category_id": F.lit("INC"), "updated_at": F.lit(BASE).cast("long")})
+    records = {"budget": budget, "account": account, "txn": txn}
+    todo = importer.plan(tables, records, importer.Options(strategy="converge", now_ms=50, device_id="me"))
+    accounts = {r["id"]: r.asDict() for r in todo.placeholders["account"].collect()}
+    assert set(accounts) == {"PAYER", "LOST"}
+    for r in accounts.values():
+        assert (r["name"], r["type"], r["currency"], r["is_archived"], r["sort_order"], r["created_at"], r["updated_at"], r["rev"], r["device_id"], r["ledger_id"]) == ("missing account", 1, "CNY", 1, 0, 50, 50, 1, "me", "L1")
+    assert {r["id"]: (r["kind"], r["name"], r["is_hidden"], r["is_system"], r["created_at"]) for r in todo.placeholders["category"].collect()} == {"0123456789": (1, "missing 23456789", 1, 0, 50), "INC": (2, "missing INC", 1, 0, 50)}
+    with pytest.raises(importer.BrokenReferences):  # the state's own budget names a category that nobody has
+        importer.apply_import(tables, records, importer.Options(strategy="converge", now_ms=50))
+    tables["budget"] = tables["budget"].limit(0)
+    state, report = importer.apply_import(tables, records, importer.Options(strategy="converge", now_ms=50))
+    assert report.placeholders == 4 and [(r["entity"], r["record_id"], r["column"], r["kind"]) for r in report.fixes.collect()] == [("account", "A2", "repay_account_id", "placeholder_account"), ("budget", "B1", "category_id", "placeholder_category"), ("txn", "T9", "account_id", "placeholder_account"), ("txn", "T9", "category_id", "placeholder_category")]
+    job = importer.job_record(spark, "j", "f", report, importer.Options(), 1, 1).first()
+    assert (job["inserted"], job["updated"], job["removed"]) == (6, 1, 0)
+    assert state["account"].where("id = 'LOST'").first()["cached_balance_minor"] == 300_000
+
+
+def test_removals_reach_tables_that_the_file_lacks(spark):
+    tables = seed.sample(spark)
+    records = {"ledger": tables["ledger"], "txn": tables["txn"].where("id = 'T1'"), "account": tables["account"].where("id = 'A1'")}
+    options = importer.Options(mode="replace", target_ledger="L1", now_ms=77, allow_removals=True)
+    state, report = importer.apply_import(tables, records, options)
+    gone = {k: sorted(r["id"] for r in df.where("deleted_at = 77").collect()) for k, df in state.items()}
+    assert gone == {"ledger": [], "category": ["C1", "C2"], "account": ["A2"], "txn": ["T2", "T3"]} and report.removed == 5
+
+
+def test_unsafe_ids_are_refused(spark):
+    tables = seed.sample(spark)
+    with pytest.raises(importer.Refused, match="unsafe"):
+        importer.apply_import(tables, {"txn": tables["txn"].withColumn("id", F.concat("id", F.lit(" x")))}, importer.Options())
