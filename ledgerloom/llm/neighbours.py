@@ -32,7 +32,7 @@ MISSED, RANGE = 0.05, 1.1
 LEAST, PILOTS = 256, 64
 #: Vectors of a block and bytes of its index, at most; a block isn't made smaller than SMALL for more tasks. Queries at
 #: once.
-BLOCK, BLOCK_BYTES, SMALL, QUERY_BLOCK = 65_536, 128 << 20, 4096, 1_024
+BLOCK, BLOCK_BYTES, SMALL, QUERY_BLOCK = 65_536, 128 << 20, 16_384, 1_024
 #: Products and lengths beyond these may have lost digits: such ranges are verified whole.
 TINY, HUGE = 1e-280, 1e280
 
