@@ -134,26 +134,32 @@ FROM x LEFT JOIN last ON x.source IS NOT DISTINCT FROM last.source AND x.place =
 def licences_sql() -> str:
     """The licence scan in full, without bounds or prefilters; the templates' terms are stated as rows."""
     wanted = licenses.template_terms(licenses.TEMPLATES)
-    rows = ", ".join(f"('{name}', '{t}', {n})" for name, c in wanted.items() for t, n in sorted(c.items()))
+    rows = ", ".join(f"({i}, '{name}', '{t}', {n})" for i, (name, c) in enumerate(wanted) for t, n in sorted(c.items()))
     is_file = "regexp_matches(path, '(?i)(^|/)(licen[sc]e|copying|unlicense)([.-][^/]*)?$')"
+    runs = lambda pattern: f"regexp_split_to_array(array_to_string(list_transform(cut, lambda x: CASE WHEN regexp_matches(x, '{pattern}') THEN x ELSE '' END), chr(10)), '\\n\\n+')"
     return f"""
-WITH template(name, term, n) AS (VALUES {rows}),
-files AS (SELECT doc_id, text, coalesce(source, 'none') || '/' || CASE
+WITH template(v, name, term, n) AS (VALUES {rows}),
+files AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, 'none') || '/' || CASE
     WHEN doc_id % 1000 = 0 THEN (doc_id // 1000) || '/LICENSE'
     WHEN doc_id % 10 = 0 THEN (doc_id // 1000) || '/' || (doc_id // 10 % 100) || '/LICENSE'
     ELSE (doc_id // 1000) || '/' || (doc_id // 10 % 100) || '/' || doc_id || '.txt' END AS path FROM documents),
-blocks AS (SELECT doc_id, line, TRUE AS is_line, row_number() OVER () AS b FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM files)
-    UNION ALL SELECT doc_id, coalesce(text, ''), FALSE, -row_number() OVER () FROM files WHERE {is_file}),
-words AS (SELECT doc_id, b, is_line, unnest(regexp_split_to_array(translate(line, '{licenses.UPPER}', '{licenses.LOWER}'), '[^a-z0-9]+')) AS w FROM blocks),
-tf AS (SELECT doc_id, b, is_line, w, count(*) AS tf FROM words WHERE w <> '' GROUP BY ALL),
-total AS (SELECT count(*) AS lines FROM blocks WHERE is_line),
-idf AS (SELECT term, ln((1 + lines) / (1 + (SELECT count(*) FROM tf WHERE w = term AND is_line))) + 1 AS idf FROM (SELECT DISTINCT term FROM template), total),
+cuts AS (SELECT *, string_split(text, chr(10)) AS cut FROM files),
+spans AS (SELECT *, list_concat(cut, {runs(licenses.WORDY)}) AS span, {runs(licenses.COMMENT)} AS comments FROM cuts),
+cutted AS (SELECT doc_id, unnest(list_distinct(list_concat(span, comments, flatten(list_transform(span, lambda x: regexp_split_to_array(x, '[.!?;][ \\t\\n\\r]+'))), CASE WHEN {is_file} THEN [text] ELSE [] END))) AS line FROM spans),
+blocks AS (SELECT doc_id, line, row_number() OVER () AS b FROM cutted),
+lines AS (SELECT unnest(cut) AS line FROM cuts),
+line_words AS (SELECT unnest(list_distinct(regexp_split_to_array(translate(line, '{licenses.UPPER}', '{licenses.LOWER}'), '[^a-z0-9]+'))) AS w FROM lines),
+df AS (SELECT w, count(*) AS df FROM line_words GROUP BY w),
+words AS (SELECT doc_id, b, unnest(regexp_split_to_array(translate(line, '{licenses.UPPER}', '{licenses.LOWER}'), '[^a-z0-9]+')) AS w FROM blocks),
+tf AS (SELECT doc_id, b, w, count(*) AS tf FROM words WHERE w <> '' GROUP BY ALL),
+total AS (SELECT count(*) AS lines FROM lines),
+idf AS (SELECT term, ln((1 + lines) / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM template) CROSS JOIN total LEFT JOIN df ON w = term),
 weighed AS (SELECT tf.*, coalesce(idf, ln(1 + lines) + 1) AS idf FROM tf CROSS JOIN total LEFT JOIN idf ON w = term),
-norm AS (SELECT doc_id, b, sqrt(sum((tf * idf) ** 2)) AS norm FROM weighed GROUP BY doc_id, b),
-whole AS (SELECT name, sqrt(sum((n * idf) ** 2)) AS whole FROM template JOIN idf USING (term) GROUP BY name),
-dot AS (SELECT doc_id, b, name, sum(tf * n * idf ** 2) AS dot FROM weighed JOIN template ON w = term GROUP BY doc_id, b, name),
-score AS (SELECT doc_id, name, round(dot / (norm * whole), {licenses.DECIMALS}) AS score FROM dot JOIN norm USING (doc_id, b) JOIN whole USING (name)),
-own AS (SELECT doc_id, arg_min(name, struct_pack(s := -score, n := name)) AS own_license, max(score) AS own_score FROM score WHERE score >= 0.6 GROUP BY doc_id),
+norm AS (SELECT b, sqrt(sum((tf * idf) ** 2)) AS norm FROM weighed GROUP BY b),
+whole AS (SELECT v, sqrt(sum((n * idf) ** 2)) AS whole FROM template JOIN idf USING (term) GROUP BY v),
+dot AS (SELECT doc_id, b, v, name, sum(tf * n * idf ** 2) AS dot FROM weighed JOIN template ON w = term GROUP BY doc_id, b, v, name),
+score AS (SELECT doc_id, v, name, round(dot / (norm * whole), {licenses.DECIMALS}) AS score FROM dot JOIN norm USING (b) JOIN whole USING (v)),
+own AS (SELECT doc_id, arg_min(name, struct_pack(s := -score, v := v)) AS own_license, max(score) AS own_score FROM score WHERE score >= 0.6 GROUP BY doc_id),
 mine AS (SELECT files.doc_id, path, own_license, own_score, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM files LEFT JOIN own USING (doc_id)),
 given AS (SELECT dir, min(struct_pack(s := -own_score, p := path, n := own_license)) AS best FROM mine WHERE own_license IS NOT NULL AND {is_file} GROUP BY dir),
 up AS (SELECT doc_id, k AS distance, array_to_string(string_split(dir, '/')[1 : len(string_split(dir, '/')) - k], '/') AS above

@@ -14,27 +14,48 @@ def words(block):
     return [w for w in re.split("[^a-z0-9]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in block)) if w]
 
 
+def blocks(path, text):
+    """Lines, paragraphs, comment runs, sentences of the first two, and a licence file as a whole."""
+    cut = (text or "").split("\n")
+
+    def runs(keep):
+        out, run = [], []
+        for line in [*cut, None]:
+            if line is not None and keep(line):
+                run.append(line)
+            elif run:
+                out.append("\n".join(run))
+                run = []
+        return out
+
+    spans = cut + runs(lambda x: re.search("[a-zA-Z0-9]", x))
+    marks = ("#", "//", "/*", "*", "--", ";", "%", "<!--")
+    comments = runs(lambda x: x.lstrip(" \t").startswith(marks))
+    sentences = [s for b in spans for s in re.split("[.!?;][ \t\n\r]+", b)]
+    return {*spans, *comments, *sentences, *([text or ""] if re.search(licenses.LICENCE_FILE, path or "") else [])}
+
+
 def brute(rows, least=0.6):
-    wanted = {k: Counter(words(t)) for k, t in licenses.TEMPLATES.items()}
-    vocabulary = {t for c in wanted.values() for t in c}
-    blocks = [line for _, _, text in rows for line in (text or "").split("\n")]
-    df, n = Counter(), len(blocks)
-    for b in blocks:
+    wanted = [(k, Counter(words(t))) for k in sorted(licenses.TEMPLATES) for t in licenses.TEMPLATES[k]]
+    vocabulary = {t for _, c in wanted for t in c}
+    every = [line for _, _, text in rows for line in (text or "").split("\n")]
+    df, n = Counter(), len(every)
+    for b in every:
         df.update(set(words(b)) & vocabulary)
     idf = lambda t: (math.log((1 + n) / (1 + df[t])) if t in vocabulary else math.log(1 + n)) + 1
+    norms = [math.sqrt(sum((m * idf(t)) ** 2 for t, m in w.items())) for _, w in wanted]
 
     def own(path, text):
         best = None
-        parts = (text or "").split("\n") + ([text or ""] if re.search(licenses.LICENCE_FILE, path or "") else [])
-        for b in parts:
+        for b in blocks(path, text):
             c = Counter(words(b))
             norm = math.sqrt(sum((m * idf(t)) ** 2 for t, m in c.items()))
-            for name, w in sorted(wanted.items()):
+            for i, ((name, w), size) in enumerate(zip(wanted, norms)):
                 dot = sum(c[t] * m * idf(t) ** 2 for t, m in w.items())
-                score = round(dot / norm / math.sqrt(sum((m * idf(t)) ** 2 for t, m in w.items())), 6) if norm else 0
-                if score >= least and (best is None or (-score, name) < best):
-                    best = (-score, name)
-        return (best[1], -best[0]) if best else (None, None)
+                score = round(dot / norm / size, 6) if norm else 0
+                if score >= least and (best is None or (-score, i, name) < best):
+                    best = (-score, i, name)
+        return (best[2], -best[0]) if best else (None, None)
 
     mine = [own(p, t) for _, p, t in rows]
     given = {}
@@ -72,7 +93,7 @@ def examine(spark, rows):
 
 def rows():
     prose = "some words of no importance, then more of them and the rest\nanother line that is this work"
-    mit, apache = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["Apache-2.0"]
+    mit, apache = licenses.TEMPLATES["MIT"][0], licenses.TEMPLATES["Apache-2.0"][0]
     return [
         (1, "a/LICENSE", mit),
         (2, "a/x.py", prose),
@@ -86,7 +107,7 @@ def rows():
         (10, None, prose),
         (None, "a/x.py", prose),
         (None, "a/x.py", prose),
-        (11, "a/COPYING", licenses.TEMPLATES["GPL-3.0"]),
+        (11, "a/COPYING", licenses.TEMPLATES["GPL-3.0"][0]),
         (12, "a/licensee/file", ""),
         (13, "/abs/file", "x " * 100_000),
         (14, "e/LICENSE", "nothing here"),
@@ -117,3 +138,83 @@ def test_query(spark, sf_dir):
     got = sorted(map(tuple, registry.op2_licenses(spark, sf_dir).collect()), key=str)
     assert [g[:3] + g[4:] for g in got] == [w[:3] + w[4:] for w in brute(files)]
     same(registry.op2_licenses(spark, sf_dir), registry.SQL["op2_licenses"], sf_dir)
+
+
+APACHE = """# Copyright 2024 Some Company, Inc.
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+import os
+"""
+GPL = """/*
+ * frob - a program that frobs
+ * Copyright (C) 2019  A. Hacker
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+ */
+int main(void) { return 0; }
+"""
+
+
+def wrapped(text, width=70, mark=""):
+    import textwrap
+
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+
+def test_real_licences(spark):
+    """Standard headers and licence files as they occur, wrapped, in comments, with copyright lines and other text."""
+    mit = licenses.TEMPLATES["MIT"][2]
+    grant, rest = mit.split("conditions: ")
+    mit_file = "MIT License\n\nCopyright (c) 2020 Jane Doe\n\n" + wrapped(grant + "conditions:") + "\n\n" + wrapped(rest)
+    bsd2, bsd3 = licenses.TEMPLATES["BSD-2-Clause"][0], licenses.TEMPLATES["BSD-3-Clause"][0]
+    wanted = {
+        "h/a.py": (APACHE, "Apache-2.0"),
+        "h/b.c": (GPL, "GPL-3.0"),
+        "h/c.c": (GPL.replace("version 3 of", "version 2 of"), "GPL-2.0"),
+        "h/d.c": (GPL.replace("This program is free", "This library is free").replace("GNU General", "GNU Lesser General"), "LGPL-3.0"),
+        "h/e.rs": ("// SPDX-License-Identifier: MIT\nfn main() {}", "MIT"),
+        "h/f.py": ("# SPDX-License-Identifier: Apache-2.0\nx = 1", "Apache-2.0"),
+        "h/g.txt": ("Copyright (c) 2020 Jane Doe. Released under the MIT License.", "MIT"),
+        "h/h.txt": ("Copyright 2020 Foo Bar Inc. Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+        "h/i.c": ("/*\n" + wrapped("Copyright (c) 2011, The Authors. All rights reserved. " + bsd3, mark=" * ") + "\n */\nint x;", "BSD-3-Clause"),
+        "l1/LICENSE": (mit_file, "MIT"),
+        "l2/LICENSE": (mit_file.partition("\n\n")[2], "MIT"),
+        "l3/LICENSE": ("Copyright (c) 2011, The Authors\n\n" + wrapped(bsd3), "BSD-3-Clause"),
+        "l4/LICENSE": ("Copyright (c) 2011, The Authors\n\n" + wrapped(bsd2), "BSD-2-Clause"),
+        "l5/COPYING": (" " * 20 + "GNU GENERAL PUBLIC LICENSE\n" + " " * 22 + "Version 3, 29 June 2007\n\n Everyone is permitted to copy this licence document.\n\n" + "The terms follow here at great length. " * 200, "GPL-3.0"),
+        "l6/LICENSE.txt": (" " * 30 + "Apache License\n" + " " * 25 + "Version 2.0, January 2004\n" + " " * 22 + "http://www.apache.org/licenses/\n\n" + "1. Definitions and much more. " * 200, "Apache-2.0"),
+        "l7/LICENSE.md": (wrapped(licenses.TEMPLATES["ISC"][0]), "ISC"),
+        "n/prose.txt": ("We use the software, copy it and modify it without a notice.\nNothing here is licensed in any way that matters to us.", None),
+        "n/blank": ("\n" * 50_000, None),
+    }
+    rows = [(i, path, text) for i, (path, (text, _)) in enumerate(wanted.items())]
+    rows += [(100 + i, f"x/{i}", f"plain line {i} of other text\nand one more") for i in range(200)]
+    got = {g[1]: g[2] for g in examine(spark, rows)}
+    assert {p: got[p] for p in wanted} == {p: name for p, (_, name) in wanted.items()}
+
+
+def test_scores_at_the_threshold(spark):
+    """A cosine that is only rounded up to the threshold counts, by prefilter and by score alike."""
+    rows = [(i, f"p{i}", "Released under the MIT License " + "word" * (i % 5) + " other" * (i % 4)) for i in range(40)]
+    scores = sorted({r[3] for r in brute(rows, 0.0) if r[3]})
+    for least in scores[1:4]:
+        files = spark.createDataFrame([(*r, "clash", "clash", 1) for r in rows], FILES)
+        got = licenses.scan_licences(files, ["key"], least=least).where("own_license is not null").count()
+        assert got == sum(r[3] is not None for r in brute(rows, least))
