@@ -20,6 +20,8 @@ from ledgerloom.llm.common import bound_batches, components, staged
 
 BITS = 64
 SEED = 42
+#: Tasks that a component's members are dealt to when they get its smallest id.
+SPREAD = 32
 #: Texts a side that one task compares exactly.
 COMPARED = 1024
 #: Members of a bucket that one task holds; larger buckets are covered again on the bits that their mask leaves free.
@@ -271,7 +273,10 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, most: int
         near = near.join(heads, F.col("a") == F.col("w")).select(F.col("head").alias("x"), "b").join(heads, F.col("b") == F.col("w")).select(F.col("x").alias("a"), F.col("head").alias("b"))
         links = links.unionByName(same).unionByName(near)
     roots = components(links).withColumnRenamed("node", "fp")
-    classes = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = classes.join(least, "root").select("fp", "component_id")
+    linked = staged(classes.join(roots, "fp"), "simhash-linked")
+    # a large component's members share a root: they are dealt to SPREAD tasks, and each gets the component's least
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    members = linked.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(SPREAD)).cast("int")).join(least, ["root", "part"]).select("fp", "component_id")
+    alone = classes.join(roots, "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    by_fp = members.unionByName(alone)
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

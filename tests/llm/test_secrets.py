@@ -70,3 +70,51 @@ def test_query(spark, sf_dir):
     got = registry.op9_secrets(spark, sf_dir).drop("spans").collect()
     assert sorted(map(tuple, got)) == sorted(row(*r) for r in rows)
     same(registry.op9_secrets(spark, sf_dir), registry.SQL["op9_secrets"], sf_dir)
+
+
+def plain_tokens(text):
+    """Web tokens by one backtracking pattern at a time."""
+    import base64
+    import json
+
+    out, at = [], 0
+    while m := re.compile(r"eyJ").search(text, at):
+        full = re.compile(r"([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+").match(text, m.start())
+        at = m.start() + 1
+        if full:
+            try:
+                head = json.loads(base64.urlsafe_b64decode(full[1] + "=" * (-len(full[1]) % 4)))
+            except (ValueError, RecursionError):
+                continue
+            if isinstance(head, dict) and "alg" in head:
+                out.append((full.start(), 5, full.end()))
+                at = full.end()
+    return out
+
+
+def test_web_tokens_against_plain_code():
+    import base64
+
+    rng, words = random.Random(12), secrets.automaton()
+    heads = ['{"alg":"HS256"}', '{"alg": 1, "x":"é"}', '{"typ":"JWT"}', '{"alg":"a"} ', '{"alg":"a"}x', '{"a":{"alg":2}}', '{"alg":"\u0001"}', "[1]"]
+    coded = [base64.urlsafe_b64encode(h.encode()).decode().rstrip("=") for h in heads]
+    bits = [*coded, "eyJ", "eyJ", ".", ".", "-", "abc", "a.b", " ", "é", "eyJhbGci", "AAAA", "x"]
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 14)))
+        assert [x for x in secrets.spans(text, words) if x[1] == 5] == plain_tokens(text), text
+
+
+def test_long_hostile_texts_take_seconds():
+    import time
+
+    words = secrets.automaton()
+    nested = "eyJhYiI6" * 40_000
+    for text in ("eyJ" * 350_000, "eyJ" * 350_000 + ".a.b", nested, nested + ".a.b", "eyJ." * 250_000, "token" + " " * 500_000 + "token  " * 50_000, "token=" * 170_000, "AKIA" * 250_000, "ghp_" * 250_000, "password: '" * 90_000, "a" * 1_000_000):
+        start = time.perf_counter()
+        secrets.spans(text, words)
+        assert time.perf_counter() - start < 30, text[:20]
+
+
+def test_redaction_without_counts(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh", "k")], "id long, text string, spans string")
+    assert [tuple(r) for r in secrets.scan(docs, rewrite=True).collect()] == [(1, "token=[assign]", "k")]
