@@ -104,14 +104,13 @@ def idf(files: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float], floa
     return {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in vocabulary}, math.log(1 + n) + 1
 
 
-def heavier(share: dict[str, float], limit: float) -> set[str]:
-    """Terms left when the lightest ones whose shares sum to less than the limit are taken away."""
+def heavier(share: dict[str, float], weights: dict[str, float], limit: float) -> set[str]:
+    """Terms left when those of most lines (the least idf) whose shares together stay below the limit are taken away."""
     found, total = set(share), 0.0
-    for t in sorted(share, key=lambda t: (share[t], t)):
-        total += share[t]
-        if total >= limit:
-            break
-        found.discard(t)
+    for t in sorted(share, key=lambda t: (weights[t], t)):
+        if total + share[t] < limit:
+            total += share[t]
+            found.discard(t)
     return found
 
 
@@ -120,15 +119,15 @@ def own_licence(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLA
     equal scores go to the first name.
 
     The cosine with a template is at most the norm of the shared terms' part of the template over the template's norm
-    (Cauchy and Schwarz). A template's lightest terms together stay below the threshold, so a file or block without any
-    of the heavier ones can't match, and only files and blocks with one are cut up and scored.
+    (Cauchy and Schwarz). As many of a template's commonest terms as stay below the threshold together are left aside; a
+    file or block without any of the others can't match, and only files and blocks with one are cut up and scored.
     """
     wanted = template_terms(templates)
     vocabulary = sorted({t for _, c in wanted for t in c})
     weights, other = idf(files, vocabulary)
     norms = [math.sqrt(sum((n * weights[t]) ** 2 for t, n in c.items())) for _, c in wanted]
     limit = max(0.0, least - 10.0**-DECIMALS) ** 2 - 1e-9
-    heavy = sorted(set().union(*(heavier({t: (n * weights[t] / norm) ** 2 for t, n in c.items()}, limit) for (_, c), norm in zip(wanted, norms))))
+    heavy = sorted(set().union(*(heavier({t: (n * weights[t] / norm) ** 2 for t, n in c.items()}, weights, limit) for (_, c), norm in zip(wanted, norms))))
     # a term's squared idf, and its part of the product with every template; as JSON it is one literal to the planner
     parts = {t: {"w": weights[t] ** 2, "dots": [c[t] * weights[t] ** 2 / norm for (_, c), norm in zip(wanted, norms)]} for t in vocabulary}
     known = F.from_json(F.lit(json.dumps(parts)), "map<string, struct<w: double, dots: array<double>>>")
