@@ -127,3 +127,46 @@ def conflict_id(now_ms: int, job: Column, entity: Column, record_id: Column, kin
 def canonical_json(text: Column) -> Column:
     """JSON text with the keys of every object in order."""
     return F.to_json(F.parse_json(text))
+
+
+def in_range(minor: Column) -> Column:
+    """minor, or an error if it lies beyond MOST_MINOR."""
+    bad = F.raise_error(F.lit("amount out of range")).cast("long")
+    return F.when(F.abs(minor) > MOST_MINOR, bad).otherwise(minor)
+
+
+def same_money(value: Column, currency: Column, other: Column) -> Column:
+    """value, or an error if the currencies differ."""
+    return F.when(~currency.eqNullSafe(other), F.raise_error(F.lit("different currencies")).cast("long")).otherwise(value)
+
+
+def money_add(a: Column, b: Column, a_currency: Column, b_currency: Column) -> Column:
+    return same_money(in_range(a + b), a_currency, b_currency)
+
+
+def money_subtract(a: Column, b: Column, a_currency: Column, b_currency: Column) -> Column:
+    return same_money(in_range(a - b), a_currency, b_currency)
+
+
+def money_times(a: Column, factor: Column) -> Column:
+    """a times a whole number; products beyond 64 bits are out of range too."""
+    wide = a.cast("decimal(20,0)") * factor.cast("decimal(18,0)")
+    bad = F.raise_error(F.lit("amount out of range")).cast("long")
+    return F.when(F.abs(wide) > MOST_MINOR, bad).otherwise(wide.cast("long"))
+
+
+def money_compare(a: Column, b: Column, a_currency: Column, b_currency: Column) -> Column:
+    """-1, 0 or 1."""
+    return same_money(F.signum((a - b).cast("double")).cast("long"), a_currency, b_currency)
+
+
+def money_json(minor: Column, currency: Column) -> Column:
+    return F.to_json(F.struct(minor.alias("minorUnits"), currency.alias("currency"), currency_scale(currency).alias("scale")))
+
+
+def money_from_json(text: Column) -> Column:
+    """(minor, currency, scale) of money_json(); null where a field is missing, of another type or out of range."""
+    parsed = F.from_json(text, "minorUnits long, currency string, scale int")
+    whole = text.rlike('"minorUnits"\\s*:\\s*-?[0-9]+\\s*[,}]') & text.rlike('"currency"\\s*:\\s*"') & text.rlike('"scale"\\s*:\\s*[0-9]+\\s*[,}]')
+    good = whole & parsed["minorUnits"].isNotNull() & (F.abs(parsed["minorUnits"]) <= MOST_MINOR) & parsed["scale"].isNotNull()
+    return F.when(good, F.struct(parsed["minorUnits"].alias("minor"), parsed["currency"].alias("currency"), parsed["scale"].alias("scale")))

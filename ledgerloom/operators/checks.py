@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.repair import spread
+from ledgerloom.operators.repair import gathered, spread
 
 #: The longest id, and what it is made of.
 ID_PATTERN = "^[0-9A-Za-z_-]{1,64}$"
@@ -38,8 +38,8 @@ def reference_violations(txns: DataFrame, accounts: DataFrame, categories: DataF
     currency or of the other direction. The first that applies, in this order. Transactions without target or category
     are spread over all tasks."""
     a = accounts.select(F.col("id").alias("a_id"), F.col("currency").alias("a_currency"), F.col("deleted_at").alias("a_gone"))
-    b = accounts.select(F.col("id").alias("b_id"), F.col("currency").alias("b_currency"), F.col("deleted_at").alias("b_gone"), F.lit(0).alias("b_spread"))
-    c = categories.select(F.col("id").alias("c_id"), F.col("kind").alias("c_kind"), F.col("deleted_at").alias("c_gone"), F.lit(0).alias("c_spread"))
+    b = accounts.select(F.col("id").alias("b_id"), F.col("currency").alias("b_currency"), F.col("deleted_at").alias("b_gone"), gathered(F.col("id")).alias("b_spread"))
+    c = categories.select(F.col("id").alias("c_id"), F.col("kind").alias("c_kind"), F.col("deleted_at").alias("c_gone"), gathered(F.col("id")).alias("c_spread"))
     rows = txns.where("deleted_at is null").join(a, F.col("account_id") == F.col("a_id"), "left")
     rows = rows.join(b, (F.col("to_account_id") == F.col("b_id")) & (spread(F.col("to_account_id"), F.col("id")) == F.col("b_spread")), "left")
     rows = rows.join(c, (F.col("category_id") == F.col("c_id")) & (spread(F.col("category_id"), F.col("id")) == F.col("c_spread")), "left")

@@ -149,7 +149,10 @@ def guard(decisions: DataFrame, removal_rows: DataFrame | None = None, strategy:
         raise Conflicts("conflicts in an aborting import")
 
 
+def write_rank() -> list[Column]:
+    """What orders writes (entity, phase, record_index): by stage, placeholders (phase 0) before records."""
+    return [F.array_position(F.array(*map(F.lit, STAGES)), F.col("entity")), F.col("phase"), F.col("record_index")]
+
+
 def write_order(writes: DataFrame) -> DataFrame:
-    """Writes (entity, phase, record_index, ...) by stage, placeholders before records."""
-    rank = F.array_position(F.array(*map(F.lit, STAGES)), F.col("entity"))
-    return writes.orderBy(rank, "phase", "record_index")
+    return writes.orderBy(*write_rank())

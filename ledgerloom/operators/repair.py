@@ -33,16 +33,23 @@ RULES = (
     Rule("attachment", "ledger_id", "ledger"),
     Rule("attachment", "txn_id", "txn"),
 )
+#: What orders fixes in a report.
+FIX_ORDER = ["entity", "record_id", "column", "kind"]
 #: Fixed value: parents that are followed before a category counts as nested too deeply.
 MOST_STEPS = 8
 
 
 def spread(key: Column, by: Column) -> Column:
-    """0 for a key, and one of many numbers for a null one: a second join key, 0 on the other side, so that rows that can't
-    match anything don't meet in one task."""
+    """0 for a key, and one of many numbers for a null one: a second join key, gathered() on the other side, so that rows
+    that can't match anything don't meet in one task."""
     return F.when(key.isNull(), F.pmod(F.xxhash64(by), F.lit(4096)).cast("int") + 1).otherwise(0)
 
 
+def gathered(key: Column) -> Column:
+    """0, as a hash: a constant would be moved out of the join's keys."""
+    return F.pmod(F.xxhash64(key), F.lit(1)).cast("int")
+
+
 def orphan_rows(child: DataFrame, parent: DataFrame, column: str, strict: bool = False) -> DataFrame:
     """Rows whose reference names no parent; tombstones count as parents. A null reference is none, but if strict, and
     there is no parent at all, it is an orphan, as SQL's NOT IN has it."""
@@ -204,7 +211,7 @@ def promotions(categories: DataFrame, most_steps: int = MOST_STEPS) -> DataFrame
     known = kids.join(up, F.col("parent_id") == F.col("_p"), "left")
     direct = F.when(F.col("parent_id") == F.col("id"), "cycle").when(F.col("_p").isNull(), "missing").when(F.col("_pd"), "deleted")
     walk = known.select("id", "parent_id", direct.alias("reason"), F.col("_pp").alias("next"), F.array("id", "parent_id").alias("path"))
-    above = up.select(F.col("_p").alias("step"), F.lit(0).alias("_spread"), F.col("_pp").alias("next"))
+    above = up.select(F.col("_p").alias("step"), gathered(F.col("_p")).alias("_spread"), F.col("_pp").alias("next"))
     for _ in range(most_steps - 1):
         walk = walk.withColumn("reason", F.coalesce("reason", F.when(F.array_contains("path", F.col("next")), "cycle")))
         walk = walk.withColumn("step", F.when(F.col("reason").isNull(), F.col("next"))).drop("next")
@@ -230,4 +237,4 @@ def duplicate_names(categories: DataFrame, roots: bool = False) -> DataFrame:
 
 def fix_report(fixes: DataFrame) -> DataFrame:
     """Fixes in the order of a report."""
-    return fixes.orderBy("entity", "record_id", "column", "kind")
+    return fixes.orderBy(*FIX_ORDER)

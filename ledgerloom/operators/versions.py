@@ -18,7 +18,7 @@ STAMP_TIME = 10
 def version_error() -> Column:
     """What makes a version invalid, or null."""
     return (
-        F.when(F.coalesce(F.length("id"), F.lit(0)) == 0, "empty_id")
+        F.when(~F.coalesce(ulid_valid(F.col("id")), F.lit(False)), "bad_id")
         .when(~F.coalesce(ulid_valid(F.col("version_stamp")), F.lit(False)), "bad_stamp")
         .when(F.coalesce(F.length("device_id"), F.lit(0)) == 0, "empty_device")
         .when(~F.coalesce(F.col("content_hash").rlike("^[0-9a-f]{64}$"), F.lit(False)), "bad_hash")
@@ -29,8 +29,14 @@ def version_millis() -> Column:
     return ulid_millis(F.col("version_stamp"))
 
 
+def pair_error(local: str = "local", remote: str = "remote") -> Column:
+    """Why two versions (structs) can't be compared, or null: another record, or no content hash."""
+    hashed = lambda c: F.coalesce(F.col(c)["content_hash"].rlike("^[0-9a-f]{64}$"), F.lit(False))
+    return F.when(~F.col(local)["id"].eqNullSafe(F.col(remote)["id"]), "other_record").when(~hashed(local) | ~hashed(remote), "bad_hash")
+
+
 def resolve(pairs: DataFrame, stamp_time: int = STAMP_TIME) -> DataFrame:
-    """pairs (id, local struct, remote struct) with side, reason, needs_review and is_noop.
+    """pairs (id, local struct, remote struct) with side, reason, needs_review, is_noop and the winner (struct).
 
     Identical versions need nothing. Equal content: the larger stamp, remote on a tie. Equal stamps: the larger hash,
     to be reviewed. Else the larger stamp, to be reviewed if both are of one millisecond.
@@ -41,9 +47,10 @@ def resolve(pairs: DataFrame, stamp_time: int = STAMP_TIME) -> DataFrame:
     later = b["version_stamp"] > a["version_stamp"]
     same_ms = F.substring(a["version_stamp"], 1, stamp_time) == F.substring(b["version_stamp"], 1, stamp_time)
     side = F.when(identical, "none").when(same_hash, F.when(later | same_stamp, "remote").otherwise("local")).when(same_stamp, F.when(b["content_hash"] >= a["content_hash"], "remote").otherwise("local")).otherwise(F.when(later, "remote").otherwise("local"))
-    reason = F.when(identical, "identical").when(same_hash, "metadata_only").when(same_stamp, "stamp_collision").when(same_ms, "same_millisecond").otherwise("newer_stamp")
+    reason = F.when(identical, "identical").when(same_hash, "metadata_only").when(same_stamp, "stamp_collision").otherwise("newer_stamp")
     review = ~same_hash & (same_stamp | same_ms)
-    return pairs.select("*", side.alias("side"), reason.alias("reason"), review.alias("needs_review"), identical.alias("is_noop"))
+    winner = F.when(side == "remote", b).otherwise(a)
+    return pairs.select("*", side.alias("side"), reason.alias("reason"), review.alias("needs_review"), identical.alias("is_noop"), winner.alias("winner"))
 
 
 def reduce_versions(rows: DataFrame, stamp_time: int = STAMP_TIME) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.balance import delta
-from ledgerloom.operators.checks import shape_error
+from ledgerloom.operators.balance import delta, legs
+from ledgerloom.operators.checks import parent_errors, reference_violations, shape_error
 
 
 def create(state: DataFrame, new: DataFrame, unique: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -62,11 +62,44 @@ def soft_delete(state: DataFrame, ids: DataFrame, at_ms: int, blockers: DataFram
     return rows.withColumn("deleted_at", F.when(now, F.lit(at_ms)).otherwise(F.col("deleted_at"))).select(*state.columns), refused
 
 
-def balance_change(accounts: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """(id, cached_balance_minor): the accounts' cached balances moved by what the change of transactions does."""
+def balance_change(accounts: DataFrame, before: DataFrame, after: DataFrame, txns: DataFrame | None = None) -> DataFrame:
+    """(id, cached_balance_minor, balance_as_of): the accounts' cached balances moved by what the change of transactions
+    does. Accounts that it touches, even by nothing, get the time of their last live transaction, which may go back;
+    txns are all transactions after the change (None: `after` has them all)."""
     moved = delta(before, after).withColumnRenamed("delta", "_delta")
-    return accounts.join(moved, "id", "left").select("id", (F.col("cached_balance_minor") + F.coalesce("_delta", F.lit(0))).alias("cached_balance_minor"))
+    touched = legs(before).select("account_id").unionByName(legs(after).select("account_id")).distinct()
+    last = legs(after if txns is None else txns).join(touched, "account_id", "left_semi").groupBy("account_id").agg(F.max("occurred_at").alias("_last"))
+    as_of = touched.join(last, "account_id", "left").select(F.col("account_id").alias("id"), F.coalesce("_last", F.lit(0)).alias("_as_of"))
+    old = F.col("balance_as_of") if "balance_as_of" in accounts.columns else F.lit(0).cast("long")
+    rows = accounts.join(moved, "id", "left").join(as_of, "id", "left")
+    return rows.select("id", (F.col("cached_balance_minor") + F.coalesce("_delta", F.lit(0))).alias("cached_balance_minor"), F.coalesce("_as_of", old).alias("balance_as_of"))
 
 
-def valid_txns(txns: DataFrame) -> DataFrame:
-    return txns.where(shape_error().isNull())
+def create_ledgers(state: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As create(), with codes that no ledger has, tombstones included, and at most one live default."""
+    rows = new.withColumn("_default", (F.col("is_default") == 1) & F.col("deleted_at").isNull())
+    lots = state.where("deleted_at is null and is_default = 1").select(F.lit(True).alias("_has")).limit(1)
+    first = rows.where("_default").agg(F.min("id").alias("_first"))
+    rows = rows.join(F.broadcast(first)).join(F.broadcast(lots), F.lit(True), "left")  # a row each
+    bad = F.when(F.col("_default") & (F.col("_has").isNotNull() | (F.col("id") != F.col("_first"))), "second_default")
+    return _with_rule(state, rows.select(*new.columns, bad.alias("_rule")), ["code"])
+
+
+def create_categories(state: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As create(), with parents that are live roots of the same ledger and direction."""
+    merged = new.unionByName(state.join(new.select("id"), "id", "left_anti"))
+    bad = parent_errors(merged).withColumnRenamed("violation", "_rule")
+    return _with_rule(state, new.join(bad, "id", "left"))
+
+
+def create_txns(state: DataFrame, new: DataFrame, accounts: DataFrame, categories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As create(), of transactions of a valid shape whose accounts and categories are live and fit."""
+    lost = reference_violations(new, accounts, categories).withColumnRenamed("violation", "_lost")
+    rows = new.join(lost, "id", "left").withColumn("_rule", F.coalesce(shape_error(), "_lost")).drop("_lost")
+    return _with_rule(state, rows)
+
+
+def _with_rule(state: DataFrame, rows: DataFrame, unique: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """create() of the rows whose _rule is null; the others are refused with it."""
+    after, refused = create(state, rows.where("_rule is null").drop("_rule"), unique)
+    return after, refused.unionByName(rows.where("_rule is not null").select("id", F.col("_rule").alias("violation")))

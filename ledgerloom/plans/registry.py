@@ -3,33 +3,20 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars
 from ledgerloom.operators import balance, checks, importer, lists, merge, repair, versions, writes
-from ledgerloom.plans import sql
+from ledgerloom.plans import exchange, sql
+from ledgerloom.plans.base import QUERIES, SQL, query
+from ledgerloom.plans.sql import ulid_sql
 from ledgerloom.sources import adapter, changeset, seed
 from ledgerloom.sources.store import scratch
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
 NOW = adapter.BASE_MS + 86_400_000
 
-
-def query(oracle: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if oracle:
-            SQL[f.__name__] = oracle
-        return f
-
-    return add
-
-
 T, A = sql.with_(sql.TXN), sql.with_(sql.ACCOUNT)
 TL = sql.with_(sql.TXN, sql.LEGS)
 ATL = sql.with_(sql.ACCOUNT, sql.TXN, sql.LEGS, sql.BALANCE)
@@ -136,7 +123,7 @@ def incremental_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.delta(adapter.txns(spark, sf_dir), edited(spark, sf_dir))
 
 
-@query(sql.with_(sql.ACCOUNT, sql.TXN, EDITED, sql.legs("edited"), sql.BALANCE) + "SELECT b.id, balance_minor AS cached_balance_minor FROM balance b JOIN account a ON a.id = b.id")
+@query(sql.with_(sql.ACCOUNT, sql.TXN, EDITED, sql.legs("edited"), sql.BALANCE) + "SELECT b.id, balance_minor AS cached_balance_minor, balance_as_of FROM balance b JOIN account a ON a.id = b.id")
 def incremental_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The incremental way; the SQL recomputes from scratch."""
     return writes.balance_change(cached(spark, sf_dir), adapter.txns(spark, sf_dir), edited(spark, sf_dir))
@@ -187,14 +174,6 @@ def money_sum_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.money_sum(adapter.txns(spark, sf_dir), "amount_minor", "currency", ["type"])
 
 
-ULID_SQL = "array_to_string(list_transform(range({n}), lambda i: substr('0123456789ABCDEFGHJKMNPQRSTVWXYZ', CAST(1 + (({v} >> CAST(5 * ({n} - 1 - i) AS INTEGER)) & 31) AS BIGINT), 1)), '')"
-
-
-def ulid_sql(ms: str, hex20: str) -> str:
-    half = lambda at: f"CAST('0x' || substr({hex20}, {at}, 10) AS BIGINT)"
-    return " || ".join([ULID_SQL.format(n=10, v=ms), ULID_SQL.format(n=8, v=half(1)), ULID_SQL.format(n=8, v=half(11))])
-
-
 @query(T + f"SELECT id, {ulid_sql('occurred_at', 'h')} AS ulid FROM (SELECT id, occurred_at, sha256(CAST(id AS VARCHAR)) AS h FROM txn)")
 def ulid_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapter.txns(spark, sf_dir).select("id", scalars.ulid_encode(F.col("occurred_at"), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 20)).alias("ulid"))
@@ -232,7 +211,7 @@ def version_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.with_(sql.LOCAL, sql.REMOTE) + """, p AS (SELECT r.id, r.updated_at AS ra, l.updated_at AS la, r.content_hash = l.content_hash AS same,
   r.updated_at > l.updated_at OR (r.updated_at = l.updated_at AND substr(sha256(r.device_id), 1, 20) > substr(sha256(l.device_id), 1, 20)) AS later FROM remote r JOIN local l ON r.id = l.id)
-SELECT id, CASE WHEN later THEN 'remote' ELSE 'local' END AS side, CASE WHEN same THEN 'metadata_only' WHEN ra = la THEN 'same_millisecond' ELSE 'newer_stamp' END AS reason, NOT same AND ra = la AS needs_review, FALSE AS is_noop FROM p""")
+SELECT id, CASE WHEN later THEN 'remote' ELSE 'local' END AS side, CASE WHEN same THEN 'metadata_only' ELSE 'newer_stamp' END AS reason, NOT same AND ra = la AS needs_review, FALSE AS is_noop FROM p""")
 def version_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     def side(name: str) -> DataFrame:
         rows = adapter.replica(spark, sf_dir, name)
@@ -584,3 +563,7 @@ def top_expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Substring search, as a trigram index would answer it."""
     return adapter.table(spark, sf_dir, "part").where(F.contains("p_name", F.lit("old")) & F.contains(F.lower("p_name"), F.lit("widget"))).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+
+
+#: The queries of the other module are in the same tables.
+__all__ = ["QUERIES", "SQL", "exchange"]

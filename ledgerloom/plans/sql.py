@@ -111,3 +111,12 @@ def decisions(mode: str = "merge", strategy: str = "abort", lww: bool = False) -
 
 def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+ULID = "array_to_string(list_transform(range({n}), lambda i: substr('0123456789ABCDEFGHJKMNPQRSTVWXYZ', CAST(1 + (({v} >> CAST(5 * ({n} - 1 - i) AS INTEGER)) & 31) AS BIGINT), 1)), '')"
+
+
+def ulid_sql(ms: str, hex20: str) -> str:
+    """The text of a ULID from its time and the first 20 hexadecimal digits of a text."""
+    half = lambda at: f"CAST('0x' || substr({hex20}, {at}, 10) AS BIGINT)"
+    return " || ".join([ULID.format(n=10, v=ms), ULID.format(n=8, v=half(1)), ULID.format(n=8, v=half(11))])

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.operators.checks import ID_PATTERN
+
 #: Limits of a change set.
 MOST_LINE = 16 * 1024 * 1024
 MOST_RECORDS = 2_000_000
@@ -130,7 +132,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _raw(f: Field) -> Column:
-    return F.get_json_object("line", f"$.{f.key}")
+    """A field's JSON text, or a string's characters, of the line as parsed by read_records()."""
+    return F.col("_line")[f.key]
 
 
 def _value(f: Field) -> Column:
@@ -151,6 +154,8 @@ def _error(f: Field) -> Column:
     out = F.when(raw.isNull(), F.lit(f"{f.key}: missing") if f.required else F.lit(None).cast("string"))
     if f.kind == "text":
         out = out.when(raw == "", f"{f.key}: empty").when(F.octet_length(raw) > MOST_TEXT, f"{f.key}: too long")
+        if f.key == "id":
+            out = out.when(~raw.rlike(ID_PATTERN), f"{f.key}: unsafe")
     elif f.kind in ("integer", "flag", "amount"):
         out = out.when(~raw.rlike("^-?[0-9]{1,18}$"), f"{f.key}: no integer")
         if f.kind == "flag":
@@ -170,9 +175,11 @@ def _error(f: Field) -> Column:
 
 
 def read_records(lines: DataFrame, kind: str) -> DataFrame:
-    """A type's records from read_lines(): its columns, typed and with defaults, and violations, an array of texts."""
+    """A type's records from read_lines(): its columns, typed and with defaults, and violations, an array of texts. Each
+    line is parsed once, all fields as text."""
     spec = SPECS[kind]
-    rows = lines.where(F.col("stage") == kind)
+    schema = ", ".join(f"`{f.key}` string" for f in spec.fields)
+    rows = lines.where(F.col("stage") == kind).select(F.from_json("line", schema).alias("_line"))
     return rows.select(*[_value(f).cast(KIND_TYPES[f.kind]).alias(f.column) for f in spec.fields], F.array_compact(F.array(*map(_error, spec.fields))).alias("violations"))
 
 

@@ -130,9 +130,10 @@ def intact(file: bytes) -> bool:
     return len(file) >= HEADER + TRAILER and hashlib.sha256(file[FIXED:-TRAILER]).digest() == file[-TRAILER:]
 
 
-def seal(spark: SparkSession, payload: bytes, key: bytes, header: Header) -> bytes:
-    """A container of the payload; the header's lengths are set from it. One expression follows the chain of tags."""
-    size = header.chunk_kib * 1024
+def seal(spark: SparkSession, payload: bytes, key: bytes, header: Header, chunk_bytes: int | None = None) -> bytes:
+    """A container of the payload; the header's lengths are set from it. One expression follows the chain of tags.
+    chunk_bytes makes chunks smaller than the header says, which readers don't mind."""
+    size = chunk_bytes or header.chunk_kib * 1024
     parts = [payload[i : i + size] for i in range(0, len(payload), size)]
     head = Header(**{**header.__dict__, "plaintext_length": len(payload), "chunk_count": len(parts)}).encode()
     body = b""
@@ -179,8 +180,9 @@ def open_file(spark: SparkSession, file: bytes, key: bytes) -> bytes:
         return b""
     digest = hashlib.sha256(file[:HEADER]).digest()
     tags = [bytes(32), *(b[-TAG_BYTES:] for _, b in chunks)]
-    rows = [(i, bytearray(n), bytearray(b), bytearray(digest + struct.pack(">I", i) + tags[i])) for i, (n, b) in enumerate(chunks)]
-    frame = spark.createDataFrame(rows, "i int, nonce binary, box binary, aad binary").select("i", gcm_open(F.col("box"), F.lit(bytearray(key)), F.col("nonce"), F.col("aad")).alias("plain"))
+    # the key is data like the rest, as literals show in plans and event logs
+    rows = [(i, bytearray(n), bytearray(b), bytearray(digest + struct.pack(">I", i) + tags[i]), bytearray(key)) for i, (n, b) in enumerate(chunks)]
+    frame = spark.createDataFrame(rows, "i int, nonce binary, box binary, aad binary, key binary").select("i", gcm_open(F.col("box"), F.col("key"), F.col("nonce"), F.col("aad")).alias("plain"))
     parts = dict(map(tuple, frame.collect()))
     if any(p is None for p in parts.values()):
         raise WrongKey("wrong key")

@@ -1,15 +1,18 @@
 """A store of ledger tables: every change is a new version directory, and a pointer says which one counts.
 
-Nothing is changed in place, so a reader keeps its version, a failed write leaves nothing behind that counts, and going
+A version's directory has the tables that it changed and a manifest of where the others lie. Nothing is changed in place, so a reader keeps its version, a failed write leaves nothing behind that counts, and going
 back is a pointer to an older version. The pointer is replaced by a rename.
 """
 
 from __future__ import annotations
 
+import json
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+MANIFEST = "tables.manifest"
+
 
 def scratch(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; only a local session gets a temporary one where none is set."""
@@ -42,11 +45,17 @@ class Store:
     def _exists(self, path: str) -> bool:
         return self._files.exists(self._path(path))
 
+    def _names(self, path: str) -> list[str]:
+        return [s.getPath().getName() for s in self._files.listStatus(self._path(path))] if self._exists(path) else []
+
     def versions(self) -> list[int]:
-        if not self._exists(self.root):
-            return []
-        names = [s.getPath().getName() for s in self._files.listStatus(self._path(self.root))]
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
+        """Versions that have a manifest, which is written last."""
+        numbers = [int(n[1:]) for n in self._names(self.root) if n.startswith("v") and n[1:].isdigit()]
+        return sorted(n for n in numbers if self._exists(f"{self.root}/v{n}/{MANIFEST}/_SUCCESS"))
+
+    def manifest(self, version: int) -> dict[str, int]:
+        """The version whose folder holds each table of a version."""
+        return json.loads(self.spark.read.text(f"{self.root}/v{version}/{MANIFEST}").first()[0])
 
     def current(self) -> int | None:
         names = [s.getPath().getName() for s in self._files.listStatus(self._path(self.root))] if self._exists(self.root) else []
@@ -64,23 +73,25 @@ class Store:
             self._files.delete(self._path(f"{self.root}/{name}"), True)
 
     def commit(self, tables: dict[str, DataFrame]) -> int:
-        """Writes all tables as a new version, points to it and returns its number. A table that isn't given is that of
-        the current version."""
+        """Writes the tables as a new version, points to it and returns its number. A table that isn't given is that of
+        the current version, where it lies; nothing of it is copied."""
         base = self.current()
-        number = max(self.versions(), default=0) + 1
-        kept = {} if base is None else {n: self.read(n, base) for n in self.tables(base) if n not in tables}
-        for name, df in {**kept, **tables}.items():
+        taken = [int(n[1:]) for n in self._names(self.root) if n.startswith("v") and n[1:].isdigit()]
+        number = max(taken, default=0) + 1
+        held = {} if base is None else self.manifest(base)
+        for name, df in tables.items():
             df.write.parquet(f"{self.root}/v{number}/{name}")
+        line = json.dumps({**held, **dict.fromkeys(tables, number)}, sort_keys=True)
+        self.spark.createDataFrame([(line,)], "line string").coalesce(1).write.text(f"{self.root}/v{number}/{MANIFEST}")
         self._point(number)
         return number
 
     def tables(self, version: int | None = None) -> list[str]:
-        version = self.current() if version is None else version
-        return sorted(s.getPath().getName() for s in self._files.listStatus(self._path(f"{self.root}/v{version}")) if s.isDirectory())
+        return sorted(self.manifest(self.current() if version is None else version))
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
         version = self.current() if version is None else version
-        return self.spark.read.parquet(f"{self.root}/v{version}/{name}")
+        return self.spark.read.parquet(f"{self.root}/v{self.manifest(version)[name]}/{name}")
 
     def rollback(self, version: int) -> None:
         """Points to an older version; newer ones stay until they are dropped."""
@@ -91,4 +102,11 @@ class Store:
     def drop(self, version: int) -> None:
         if version == self.current():
             raise ValueError("the current version stays")
-        self._files.delete(self._path(f"{self.root}/v{version}"), True)
+        others = [v for v in self.versions() if v != version]
+        needed = {(name, at) for v in others for name, at in self.manifest(v).items()}
+        self._files.delete(self._path(f"{self.root}/v{version}/{MANIFEST}"), True)
+        for name in self._names(f"{self.root}/v{version}"):
+            if (name, version) not in needed:
+                self._files.delete(self._path(f"{self.root}/v{version}/{name}"), True)
+        if not self._names(f"{self.root}/v{version}"):
+            self._files.delete(self._path(f"{self.root}/v{version}"), True)

@@ -107,7 +107,7 @@ def test_resolve(spark):
         ("remote", "metadata_only", False, False),
         ("remote", "stamp_collision", True, False),
         ("local", "stamp_collision", True, False),
-        ("local", "same_millisecond", True, False),
+        ("local", "newer_stamp", True, False),
         ("remote", "newer_stamp", False, False),
         ("remote", "metadata_only", False, False),
     ]
@@ -126,7 +126,7 @@ def test_guards_and_counters(spark):
     merge.guard(d, gone, "converge", True)
     assert merge.counters(d).first().asDict() == {"inserted": 1, "updated": 0, "skipped": 0, "conflicts": 1, "records": 2}
     queue = merge.conflicts(remote, local, d, "job", "account", T0).collect()
-    assert len(queue) == 1 and len(queue[0]["conflict_id"]) == 26 and '"deleted_at":null' in queue[0]["local_json"]
+    assert len(queue) == 1 and len(queue[0]["conflict_id"]) == 26 and '"deleted":false' in queue[0]["local_json"]
     assert merge.duplicates(remote.union(remote)).count() == 2
 
 
