@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, most: int
     linked = staged(classes.join(roots, "fp"), "simhash-linked")
     # a large component's members share a root: they are dealt to SPREAD tasks, and each gets the component's least
     least = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    members = linked.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(SPREAD)).cast("int")).join(least, ["root", "part"]).select("fp", "component_id")
+    members = linked.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(SPREAD)).cast("int")).join(least.hint("merge"), ["root", "part"]).select("fp", "component_id")
     alone = classes.join(roots, "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
     by_fp = members.unionByName(alone)
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
