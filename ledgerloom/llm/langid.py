@@ -1,7 +1,8 @@
 """Language identification by interpolated Kneser-Ney character models, one a language.
 
 Texts are lower-cased; letters stay, every other run becomes one space. The models' n-grams lie in sorted arrays of
-64-bit keys (four 16-bit symbols), one array an order for all languages, with a column of log-probabilities for each.
+64-bit keys (four 16-bit symbols), one array an order and language; for few languages, one an order for all of them, with
+a column of log-probabilities for each.
 A document goes to the language of the lowest cross-entropy a character. It is rejected where even that lies above what
 held-back training rows of the language and of like length reached, by a margin.
 """
@@ -24,8 +25,11 @@ _LETTER: np.ndarray | None = None
 UNKNOWN = "und"
 #: Characters of a text that are scored at once.
 PIECE = 1 << 18
-#: More languages than this are an error: the model has a column for each.
+#: Languages whose counts of rows the driver takes; more are an error, as labels are then hardly languages.
 MOST_LANGS = 1000
+#: Bytes of the table that has every language's log-probability of every n-gram. Where it would be larger, languages are
+#: looked up one by one in their own arrays, which is slower and gives the same.
+MOST_DENSE = 256 << 20
 
 
 def symbols(text: str) -> np.ndarray:
@@ -105,13 +109,17 @@ class Model:
     floor: np.ndarray
     scale: float = 1.0
     limits: np.ndarray | None = None
+    own: list[KneserNey] | None = None
 
     @classmethod
-    def fit(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
+    def fit(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]], most_dense: int = MOST_DENSE) -> Model:
         langs = sorted(counts)
         letters = len(np.unique(np.concatenate([g & np.uint64(0xFFFF) for g, _ in counts.values()]))) + 1 if langs else 2
         own = {k: KneserNey(*counts[k], letters) for k in langs}
         grams, logs, contexts, weights = [], [], [], []
+        floor = np.full(len(langs), np.log(1.0 / max(2, letters)), np.float32)
+        if sum(x.size + y.size for o in own.values() for x, _, y, _ in o.levels) * 4 * len(langs) > most_dense:
+            return cls(langs, grams, logs, contexts, weights, floor, own=[own[k] for k in langs])
         for n in range(ORDER, 0, -1):
             union = np.unique(np.concatenate([own[k].levels[ORDER - n][0] for k in langs])) if langs else np.empty(0, np.uint64)
             above = np.unique(np.concatenate([own[k].contexts(n)[0] for k in langs])) if langs else np.empty(0, np.uint64)
@@ -123,10 +131,12 @@ class Model:
                 table[np.searchsorted(above, context), i] = np.log(rest)
             contexts.append(above)
             weights.append(table)
-        return cls(langs, grams, logs, contexts, weights, np.full(len(langs), np.log(1.0 / max(2, letters)), np.float32))
+        return cls(langs, grams, logs, contexts, weights, floor)
 
     def log_probabilities(self, wanted: np.ndarray, n: int = ORDER) -> np.ndarray:
         """A row a key, a column a language; keys in no language's array go down an order by their contexts' weights."""
+        if self.own is not None:
+            return np.stack([np.log(o.probability(wanted, n)) for o in self.own], 1).astype(np.float32)
         if n == 0:
             return np.broadcast_to(self.floor, (wanted.size, len(self.langs)))
         i = ORDER - n
@@ -210,10 +220,11 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def train(docs: DataFrame, rows_per_lang: int = 1500, margin: float = 1.0) -> Model:
+def train(docs: DataFrame, rows_per_lang: int = 1500, margin: float = 1.0, chars_per_lang: int = 20_000_000) -> Model:
     """Fits a model to at most rows_per_lang rows of each language (lang not null, remainder not 0), those of the
-    smallest hash of doc_id; a quarter of them only calibrates. The counts come from tasks; the driver gets the sample's
-    distinct n-grams, of which there are at most as many as the sample has letters."""
+    smallest hash of doc_id for as long as they have chars_per_lang characters together, whole texts all; a quarter of
+    them only calibrates. The counts come from tasks; the driver gets the sample's distinct n-grams, of which there are
+    at most as many as the sample has letters."""
     bound_batches(docs.sparkSession)
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id")) != 0))
@@ -227,7 +238,9 @@ def train(docs: DataFrame, rows_per_lang: int = 1500, margin: float = 1.0) -> Mo
     few = labelled.withColumn("place", place).where(F.col("place") < F.element_at(share, F.col("lang")))
     few = staged(few.select("doc_id", "lang", "text", "place"), "langid-sample")
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "text")))
-    few = ranked.where(F.col("rank") <= rows_per_lang).select("lang", "text", (F.col("rank") % 4 == 0).alias("held"))
+    upto = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("rank"))
+    ranked = ranked.withColumn("upto", upto).where((F.col("rank") <= rows_per_lang) & ((F.col("upto") <= chars_per_lang) | (F.col("rank") == 1)))
+    few = ranked.select("lang", "text", (F.col("rank") % 4 == 0).alias("held"))
     few = few.repartition(8)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +296,8 @@ def identify(docs: DataFrame, rows_per_lang: int = 1500, margin: float = 1.0) ->
     """Every row's doc_id, held_out, lang_pred, score (0 to 1) and rejected, from its whole text alone.
 
     Null, empty and letterless texts are `und`, score 0, rejected. Ids may be null (held out) or repeated; null langs
-    teach nothing; an empty table gives an empty result. The model, bounded by rows_per_lang, is broadcast.
+    teach nothing; an empty table gives an empty result; other columns, whatever their names, are not read. The model,
+    bounded by train()'s sample and MOST_DENSE, is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, rows_per_lang, margin))
 
@@ -299,8 +313,9 @@ def identify(docs: DataFrame, rows_per_lang: int = 1500, margin: float = 1.0) ->
 
 
 def accepted(docs: DataFrame, rows_per_lang: int = 1500, margin: float = 1.0) -> DataFrame:
-    """The rows of docs whose text isn't rejected, all columns as they are. Where nothing was learned, only texts without
-    letters go."""
+    """The rows of docs whose text isn't rejected, all columns as they are, whatever their names. Null, empty and
+    letterless texts go; where nothing was learned, only those. Ids may be null or repeated; an empty table gives an empty
+    result."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, rows_per_lang, margin))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

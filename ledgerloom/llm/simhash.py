@@ -8,7 +8,7 @@ orthogonal to all of theirs, so two fingerprints within r agree under that mask
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ from ledgerloom.llm.common import bound_batches, components, staged
 
 BITS = 64
 SEED = 42
+#: Shingles that are hashed at once.
+CHUNK = 1 << 14
 #: Tasks that a component's members are dealt to when they get its smallest id.
 SPREAD = 32
 #: Texts a side that one task compares exactly.
@@ -31,7 +33,7 @@ BUCKET = 1 << 16
 def majority(parts: Iterator[bytes], n: int) -> int:
     """The bits that are set in more than half of the n parts' hashes."""
     counts, digest = np.zeros(BITS, np.int64), xxhash.xxh64_intdigest
-    while hashes := [digest(x, SEED) for x in islice(parts, 1 << 14)]:
+    while hashes := [digest(x, SEED) for x in islice(parts, CHUNK)]:
         part = np.array(hashes, "<u8")
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
@@ -47,9 +49,11 @@ def simhash(text: str | None, width: int = 4) -> int:
     if not words:
         return 0
     joined, width = b" ".join(words), min(width, len(words))
-    ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
-    starts = [0, *(e + 1 for e in ends)]
-    return majority((joined[a:b] for a, b in zip(starts, ends[width - 1 :])), len(words) - width + 1)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    del words  # of a long text they take ten times its size
+    starts, last = np.r_[0, ends[:-1] + 1], ends[width - 1 :]
+    pieces = (joined[a:b] for i in range(0, last.size, CHUNK) for a, b in zip(starts[i : i + CHUNK].tolist(), last[i : i + CHUNK].tolist()))
+    return majority(pieces, last.size)
 
 
 def word_simhash(text: str | None, least: int) -> int | None:

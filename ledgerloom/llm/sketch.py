@@ -13,7 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import bound_batches
@@ -100,6 +101,92 @@ def edited(text: str, following: str | None) -> str:
     return text[: len(text) - n] + (following or "")[:n]
 
 
+COMPARED = "resemblance double, contained_a double, contained_b double, distinct_a double, distinct_b double"
+
+
+def _held(x: pa.Scalar) -> np.ndarray:
+    return decoded(x.as_py() or "")
+
+
+def compared(pairs: DataFrame, a: str, b: str, k: int = K) -> DataFrame:
+    """pairs with what the sketches in its columns a and b say: resemblance, the share of each one's shingles that the
+    other has (contained_a, contained_b), and numbers of distinct shingles.
+
+    A null sketch counts as that of an empty text; two empty ones are alike. Columns of these names are replaced, others
+    kept; rows may repeat; an empty table gives an empty result. Nothing is shuffled.
+    """
+    names = [x.split()[0] for x in COMPARED.split(", ")]
+    kept = pairs.drop(*[n for n in names if n not in (a, b)])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name not in names), COMPARED])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for x, y in zip(batch.column(a), batch.column(b)):
+                s, t = _held(x), _held(y)
+                rows.append((resemblance(s, t, k), containment(s, t, k), containment(t, s, k), distinct(s, k), distinct(t, k)))
+            old = [i for i, n in enumerate(batch.schema.names) if n not in names]
+            new = [pa.array(c, pa.float64()) for c in (zip(*rows) if rows else [[]] * 5)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in old), *new], [*(batch.schema.names[i] for i in old), *names])
+
+    return kept.mapInArrow(run, schema)
+
+
+#: Groups that a task holds before it passes them on, and parts in which a group's sketches are merged first.
+HELD, PARTS = 4096, 256
+
+
+def merged(rows: DataFrame, by: list[str], column: str = "fingerprint", k: int = K) -> DataFrame:
+    """(by, fingerprint, n, distinct_shingles): the sketch of what the rows of each group hold together, how many rows there
+    are, and the estimated number of their distinct shingles.
+
+    Tasks merge what they scan, then PARTS parts of each group are merged, then those: no task ever has a group's rows,
+    whatever their share. A null sketch counts as that of an empty text; null keys are a group; rows may repeat; an empty
+    table gives an empty result; other columns, whatever their names, are not read.
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+    narrow = rows.select(*[F.col(c).alias(n) for c, n in zip(by, keys)], F.col(column).cast("string").alias("_s"))
+    kinds = ", ".join(f"{n} {t}" for n, t in narrow.dtypes if n != "_s")
+    schema = f"{kinds}, _part int, _s binary, _n long"
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() % PARTS
+        held: dict[tuple, tuple[np.ndarray, int]] = {}
+
+        def flush() -> pa.RecordBatch:
+            groups = [pa.array([g[i] for g in held], target.field(i).type) for i in range(len(keys))]
+            out = [*groups, pa.array([part] * len(held), pa.int32()), pa.array([s.astype("<u4").tobytes() for s, _ in held.values()], pa.binary()), pa.array([n for _, n in held.values()], pa.int64())]
+            held.clear()
+            return pa.RecordBatch.from_arrays(out, [*keys, "_part", "_s", "_n"])
+
+        target = None
+        for batch in batches:
+            target = batch.schema
+            for *group, s in zip(*(batch.column(i).to_pylist() for i in range(len(keys))), batch.column(len(keys))):
+                old, n = held.get(tuple(group), (np.empty(0, np.uint32), 0))
+                held[tuple(group)] = merge(old, _held(s), k), n + 1
+            if len(held) > HELD:
+                yield flush()
+        if held:
+            yield flush()
+
+    def fold(table: pa.Table) -> pa.Table:
+        found = np.unique(np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table["_s"]]))[:k]
+        return table.slice(0, 1).set_column(table.schema.get_field_index("_s"), "_s", pa.array([found.astype("<u4").tobytes()], pa.binary())).set_column(table.schema.get_field_index("_n"), "_n", pa.array([sum(table["_n"].to_pylist())], pa.int64()))
+
+    parts = narrow.mapInArrow(scan, schema).groupBy(*keys, "_part").applyInArrow(fold, schema)
+    whole = parts.groupBy(*keys).applyInArrow(fold, schema)
+    size = F.length("_s") / 4
+    estimate = F.when(size < k, size).otherwise((k - 1) * 2.0**32 / (_largest(F.col("_s")) + 1))
+    return whole.select(*[F.col(n).alias(c) for n, c in zip(keys, by)], F.translate(F.base64("_s"), "\r\n", "").alias("fingerprint"), F.col("_n").alias("n"), estimate.cast("double").alias("distinct_shingles"))
+
+
+def _largest(hashes: Column) -> Column:
+    """The last of little-endian 32-bit numbers."""
+    byte = lambda i: F.conv(F.hex(F.substring(hashes, F.length(hashes) - 3 + i, F.lit(1))), 16, 10).cast("double")
+    return sum((byte(i) * 256.0**i for i in range(1, 4)), byte(0))
+
+
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -108,7 +195,8 @@ def fingerprint(docs: DataFrame, k: int = K, width: int = SHINGLE) -> DataFrame:
 
     The next row is that of the next smaller doc_id; the last's is the first. Rows that repeat a doc_id follow one
     another by text, null first. Rows without doc_id have no next one: their last third is replaced by nothing and
-    near_next is 0. Null texts count as empty; two empty texts are alike. An empty table gives an empty result.
+    near_next is 0. Null texts count as empty; two empty texts are alike. An empty table gives an empty result; other
+    columns, whatever their names, are not read.
     Texts move once: ranges of doc_id are dealt to tasks, each with a copy of the row that follows its last; the range
     borders, and a row a range, are all that the driver sees.
     """

@@ -95,7 +95,8 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = 8192, chunk
     Of the rows with equal payloads, those with the largest page_id are responses, the others revisits that name it;
     rows without page_id count as smaller than any. A null html is an empty payload. Blocks of over segment_bytes are
     cut into a response and continuation records. Only the digest and page_id are aggregated; a payload that a third
-    of the rows share is a skewed join key, which adaptive execution splits.
+    of the rows share is a skewed join key, which adaptive execution splits. Repeated page_ids are records of their own;
+    an empty table gives no records; other columns, whatever their names, are not read.
     """
     bound_batches(pages.sparkSession)
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"), F.monotonically_increasing_id().alias("row_key"))
@@ -201,7 +202,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     Continuation records are grouped by their origin's identifier and put in order of segment number; a gap, a repeat
     or a length other than WARC-Segment-Total-Length gives complete false and a null payload, as do broken chunks; a
     digest other than the header's gives complete false. Files must be gzipped or small enough not to be split if a
-    payload may hold the version line.
+    payload may hold the version line. Empty files give no rows; header fields that aren't known are skipped.
     """
     bound_batches(spark)
     lines = spark.read.option("lineSep", MARK.decode()).text(path).select(F.col("value").cast("binary").alias("value"))

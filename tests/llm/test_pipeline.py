@@ -2,25 +2,11 @@
 
 import corpus_pipeline
 from ledgerloom.llm import mixing
-from tests.llm import test_packing, test_simhash
+from tests.llm import test_packing, test_similar
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def survivors(rows):
-    """The smallest ids of the groups that shingles or distinct words link, by brute force."""
-    first = [test_simhash.brute_fingerprint(t) for _, t in rows]
-    words = [test_simhash.simhash.word_simhash(t, 16) for _, t in rows]
-    group = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            by_words = None not in (words[i], words[j]) and (words[i] ^ words[j]).bit_count() <= corpus_pipeline.WORDS_RADIUS
-            if by_words or (first[i] ^ first[j]).bit_count() <= 4:
-                old, new = group[i], group[j]
-                group = [new if g == old else g for g in group]
-    return {min(r[0] for r, g in zip(rows, group) if g == k) for k in set(group)}
-
-
 def test_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
@@ -31,7 +17,7 @@ def test_stages(spark, sf_dir):
 
     single = corpus_pipeline.staged(stages["near_duplicates"](spark, spoken, sf_dir), "t")
     rows = [tuple(r) for r in spoken.select("doc_id", "text").collect()]
-    assert sorted(r["doc_id"] for r in single.collect()) == sorted(survivors(rows))
+    assert sorted(r["doc_id"] for r in single.collect()) == test_similar.survivors(rows)
 
     clean = corpus_pipeline.staged(stages["secrets"](spark, single, sf_dir), "t")
     assert clean.columns == docs.columns and clean.count() == single.count()
@@ -40,7 +26,8 @@ def test_stages(spark, sf_dir):
 
     mixed = corpus_pipeline.staged(stages["mixing"](spark, clean, sf_dir), "t")
     assert mixed.columns == docs.columns
-    taken = {r["doc_id"]: r["copies"] for r in mixing.mix(clean).collect() if r["copies"]}
+    weight = mixing.length_weight(mixing.F.col("size"))
+    taken = {r["doc_id"]: r["copies"] for r in mixing.mix(clean, doc_weight=weight).collect() if r["copies"]}
     assert {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == taken
 
     packed = stages["packing"](spark, mixed, sf_dir)
@@ -60,3 +47,12 @@ def test_odd_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_mixing_stage_on_null_and_repeated_ids(spark):
+    """Sources that share ids, or have none, each get their own copies, row by row."""
+    rows = [(i % 10 if k else None, "w " * 10, "en", s, 20) for k in (0, 1) for s in ("a", "b", "c") for i in range(100)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = corpus_pipeline.mixture(spark, docs, "").groupBy("source").count().collect()
+    goal = {r["source"]: r["target"] for r in mixing.mix(docs).collect()}
+    assert {r["source"]: abs(r["count"] * 10 - goal[r["source"]]) <= 10 for r in got} == {"a": True, "b": True, "c": True}
