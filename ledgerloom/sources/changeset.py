@@ -75,7 +75,8 @@ def _encoded(f: Field) -> Column:
         return F.coalesce(c, F.array().cast("array<string>"))
     if f.kind == "object":
         return F.parse_json(F.coalesce(c, F.lit("{}")))
-    return F.base64(c) if f.kind == "bytes" else c
+    # base64 may come in lines of 76 characters
+    return F.translate(F.base64(c), "\r\n", "") if f.kind == "bytes" else c
 
 
 def record_lines(rows: DataFrame, kind: str) -> DataFrame:

@@ -56,3 +56,13 @@ def test_refused(spark, tmp_path):
         changeset.write_changeset({"nothing": spark.range(1)}, str(tmp_path / "x"), 1)
     with pytest.raises(ValueError):
         changeset.write_changeset(tables(spark), str(tmp_path / "y"), 1, "ledger")
+
+
+def test_bytes_are_one_line_of_base64(spark):
+    import base64
+    import json
+
+    data = bytes(range(256))
+    rows = spark.createDataFrame([("f", "l", bytearray(data))], "id string, ledger_id string, data binary")
+    line = json.loads(changeset.record_lines(rows, "attachment").first()["line"])
+    assert line["dataB64"] == base64.b64encode(data).decode()
