@@ -1,4 +1,9 @@
-"""Documents to training sequences, in five stages, each written as Parquet and read again by the next."""
+"""Documents to training sequences, in five stages, each written as Parquet and read again by the next.
+
+Every stage takes documents with COLUMNS and any others, which it leaves out; null and repeated ids, null sources and
+languages, null, empty and very long texts, and repeated rows are rows like others, but as stated; an empty table gives an
+empty result.
+"""
 
 from __future__ import annotations
 
@@ -22,7 +27,8 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is rejected go; the others stay as they are."""
+    """Documents whose language is rejected go; the others stay as they are. Null, empty and letterless texts have none and
+    go."""
     return langid.accepted(docs.select(*COLUMNS))
 
 
@@ -40,17 +46,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by their kind; every document stays."""
+    """Secrets are replaced by their kind, n_chars follows; every document stays, a null text stays null."""
     return secrets.scan(docs.select(*COLUMNS), rewrite=True)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; null and repeated ids are taken row by row."""
+    """Each document as often as the mix takes it; null and repeated ids are taken row by row. Texts without words go."""
     return mixing.repeated(docs.select(*COLUMNS), doc_weight=mixing.length_weight(F.col("size")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences: one row a piece of a document."""
+    """Token sequences: one row a piece of a document; a null or empty text is its end token alone."""
     return packing.pack(docs, str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
