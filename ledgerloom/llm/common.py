@@ -35,13 +35,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths that new_path() gave and that weren't removed yet.
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver's Python ends."""
+    """A fresh path in the shared folder, deleted when the driver's Python ends, or by clear()."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     atexit.register(remove, spark, path)
     return path
 
 
+def made() -> int:
+    """A mark for clear()."""
+    return len(_made)
+
+
+def clear(spark: SparkSession, mark: int, *keep: str) -> None:
+    """Deletes the tables made since the mark, but for those to keep: for a driver that goes on for long."""
+    for path in [p for p in _made[mark:] if p not in keep]:
+        _made.remove(path)
+        remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path in the shared folder; at the driver's end the JVM may be gone already."""
     context = spark.sparkContext

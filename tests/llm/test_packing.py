@@ -76,6 +76,43 @@ def test_windows_are_bounded_and_best():
     assert sum(not full for _, full in out) <= 3 and sum(len(p) for w, _ in out for p in w) == sum(sizes)
 
 
+def plain_best_fit(sizes, length, windows):
+    """Windows as lists of (document, ids), by looking at every open window."""
+    opened, out, number = [], [], 0
+    for doc, size in enumerate(sizes):
+        while size >= length:
+            out.append(([(doc, length)], True))
+            size -= length
+        while size:
+            fitting = [w for w in opened if w[0] >= size]
+            if fitting:
+                window = min(fitting, key=lambda w: (w[0], w[1]))
+            elif len(opened) < windows:
+                window = [length, number, []]
+                number += 1
+                opened.append(window)
+            else:
+                window = min(opened, key=lambda w: (w[0], w[1]))  # the fullest is topped up
+            part = min(window[0], size)
+            window[2].append((doc, part))
+            window[0] -= part
+            size -= part
+            if window[0] == 0:
+                opened.remove(window)
+                out.append((window[2], True))
+    return out + [(w[2], False) for w in sorted(opened, key=lambda w: (w[0], w[1]))]
+
+
+def test_best_fit_against_plain_code():
+    rng = random.Random(14)
+    for _ in range(200):
+        sizes = [int(rng.paretovariate(0.7) * 3) % 300 + 1 for _ in range(rng.randint(0, 60))]
+        length, windows = rng.choice([16, 64, 100]), rng.choice([1, 2, 5, 32])
+        pieces = (packing.Piece(i, 0, bytes(4 * n), n) for i, n in enumerate(sizes))
+        got = [([(p.doc_id, len(p)) for p in w], full) for w, full in packing.best_fit(pieces, length, windows)]
+        assert got == plain_best_fit(sizes, length, windows)
+
+
 @pytest.mark.parametrize("text", ["", " ", "a", "Hello, world's  end\n\n\nx", "don't WE'LL 12x3 4½", "İstanbul ß ſ K", "数据 テスト 한국어", "\t\tx\r\n", "a‍b   c", "<|endoftext|>", "émigré " * 50])
 def test_ids(tokenizer, text):
     assert packing.words_of(PATH).ids(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -1,7 +1,7 @@
 """The pipeline: each stage against plain rules on its own input."""
 
 import corpus_pipeline
-from ledgerloom.llm import mixing
+from ledgerloom.llm import common, mixing
 from tests.llm import test_packing, test_similar
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -12,19 +12,19 @@ def test_stages(spark, sf_dir):
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["language", "near_duplicates", "secrets", "mixing", "packing"]
 
-    spoken = corpus_pipeline.staged(stages["language"](spark, docs, sf_dir), "t")
+    spoken = common.staged(stages["language"](spark, docs, sf_dir), "t")
     assert spoken.columns == docs.columns and spoken.exceptAll(docs).isEmpty() and spoken.count() >= 0.99 * docs.count()
 
-    single = corpus_pipeline.staged(stages["near_duplicates"](spark, spoken, sf_dir), "t")
+    single = common.staged(stages["near_duplicates"](spark, spoken, sf_dir), "t")
     rows = [tuple(r) for r in spoken.select("doc_id", "text").collect()]
     assert sorted(r["doc_id"] for r in single.collect()) == test_similar.survivors(rows)
 
-    clean = corpus_pipeline.staged(stages["secrets"](spark, single, sf_dir), "t")
+    clean = common.staged(stages["secrets"](spark, single, sf_dir), "t")
     assert clean.columns == docs.columns and clean.count() == single.count()
     assert clean.where("text rlike 'AKIA[A-Z0-9]{16}|[0-9a-f]{24}' or n_chars <> length(text)").isEmpty()
     assert clean.where("not text rlike '[\\\\[](assign|access|hex)]'").exceptAll(single).isEmpty()
 
-    mixed = corpus_pipeline.staged(stages["mixing"](spark, clean, sf_dir), "t")
+    mixed = common.staged(stages["mixing"](spark, clean, sf_dir), "t")
     assert mixed.columns == docs.columns
     weight = mixing.length_weight(mixing.F.col("size"))
     taken = {r["doc_id"]: r["copies"] for r in mixing.mix(clean, doc_weight=weight).collect() if r["copies"]}
@@ -36,7 +36,9 @@ def test_stages(spark, sf_dir):
 
 
 def test_run(spark, sf_dir):
+    mark = common.made()
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    assert len(common._made) == mark + 1  # the result
 
 
 def test_odd_rows(spark, tmp_path):
