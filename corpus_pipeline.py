@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import langid, mixing, packing, secrets, simhash
-from ledgerloom.llm.common import staged
+from ledgerloom.llm.common import clear, made, staged_at
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Bits in which near duplicates' distinct-word fingerprints may differ. On the test documents that finds 74 % of the
@@ -70,8 +70,10 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is a table in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each stage's result is a table in the shared folder. What a stage made on its way, and
+    the result before it, are deleted once its own is written."""
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), made()
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = staged_at(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        clear(spark, mark, path)
     return docs
