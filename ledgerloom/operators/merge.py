@@ -119,6 +119,12 @@ def counters(decisions: DataFrame) -> DataFrame:
     )
 
 
+def classify(decisions: DataFrame) -> DataFrame:
+    """(id, state): each record as insert, skip or conflict, as an import shows them before anything is decided for good."""
+    state = F.when(F.col("write") == "INSERT", "insert").when(F.col("outcome") == "skip", "skip").otherwise("conflict")
+    return decisions.select("id", state.alias("state"))
+
+
 def conflicts(remote: DataFrame, local: DataFrame, decisions: DataFrame, job: str, entity: str, now_ms: int) -> DataFrame:
     """The review queue: conflict_id, entity, record_id, kind, and both versions (stamp, content hash, deleted) as JSON."""
     rows = decisions.where("outcome = 'conflict'").select("id", "conflict_kind")

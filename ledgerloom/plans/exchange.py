@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import crypto, scalars
-from ledgerloom.operators import balance, checks, importer, lists, merge, repair, versions, writes
+from ledgerloom.operators import balance, checks, importer, lists, merge, raw, repair, versions, writes
 from ledgerloom.plans import sql
 from ledgerloom.plans.base import query
 from ledgerloom.sources import adapter, changeset, container, export, migration, payload
@@ -478,3 +478,37 @@ def import_fix_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("n_nationkey")
     rows = adapter.table(spark, sf_dir, "nation").select(key.alias("n"), F.when(key % 2 == 0, "txn").otherwise("account").alias("entity"), F.col("n_name").alias("record_id"), F.lit("x").alias("column"), F.lit("k").alias("kind"))
     return lists.ranked(rows, repair.FIX_ORDER, "position").select("n", "position")
+
+
+# statements
+
+
+@query(T + "SELECT t.id, t.amount_minor, '?' AS mark FROM txn t WHERE t.amount_minor > 20000000 AND t.type = 2 AND t.category_id <> 'K?'")
+def raw_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement with arguments in its places."""
+    statement = "SELECT id, amount_minor, '?' AS mark FROM txn WHERE amount_minor > ? AND type = ? AND category_id <> 'K?'"
+    return raw.query({"txn": adapter.txns(spark, sf_dir)}, statement, [20_000_000, 2])
+
+
+@query(sql.with_(sql.LEDGER) + f"""SELECT id, CASE WHEN id % 3 = 0 THEN upper(name) || '=, x' ELSE name END AS name, CASE WHEN id % 3 = 0 THEN sort_order + 100 ELSE sort_order END AS sort_order, deleted_at FROM ledger WHERE id <> 5 AND (deleted_at IS NULL OR id < 20)
+UNION ALL SELECT id + 1000, 'copy', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM ledger WHERE id < 3""")
+def raw_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An update, two deletions and two insertions, one of them of ids that are there, as next states."""
+    tables = {"ledger": adapter.ledgers(spark, sf_dir).select("id", "name", "sort_order", "deleted_at")}
+    tables = raw.run(tables, "UPDATE ledger SET name = upper(name) || ?, sort_order = sort_order + ? WHERE id % 3 = ?", ["=, x", 100, 0])
+    tables = raw.run(tables, "DELETE FROM ledger WHERE id = ?", [5])
+    tables = raw.run(tables, "DELETE FROM ledger WHERE deleted_at IS NOT NULL AND id >= 20")
+    tables = raw.run(tables, "INSERT INTO ledger (id, name) SELECT id + 1000, ? FROM ledger WHERE id < 3", ["copy"])
+    return raw.run(tables, "INSERT OR IGNORE INTO ledger (id, name) VALUES (1, 'a'), (2, 'b')")["ledger"]
+
+
+@query(A + "SELECT CAST(id AS VARCHAR) AS id, CAST(ledger_id AS VARCHAR) AS ledger_id, name, type, currency, opening_balance_minor, credit_limit_minor, CAST(repay_account_id AS VARCHAR) AS repay_account_id, sort_order, deleted_at, row_number() OVER (ORDER BY CAST(id AS VARCHAR)) AS position FROM account")
+def stage_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts as an export takes them: the type's columns, in order of id."""
+    rows = adapter.accounts(spark, sf_dir).withColumns(text("id", "ledger_id", "repay_account_id")).withColumn("other", F.lit(1))
+    return lists.ranked(export.stages({"account": rows})["account"], ["id"], "position")
+
+
+@query(sql.with_(sql.LOCAL, sql.REMOTE, sql.PAIRS, f"decided AS ({sql.decisions()})") + "SELECT id, CASE WHEN write = 'INSERT' THEN 'insert' WHEN outcome = 'skip' THEN 'skip' ELSE 'conflict' END AS state FROM decided")
+def merge_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.classify(merge.decide(adapter.replica(spark, sf_dir, "remote"), adapter.replica(spark, sf_dir, "local")))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.sources.changeset import record_lines
+from ledgerloom.sources.changeset import SPECS, record_lines
+from ledgerloom.sources.payload import decode
 
 SCOPES = {"all": "full", "time_range": "range", "ledger": "ledger", "incremental": "incremental"}
 #: Volume sizes in bytes.
@@ -73,3 +75,22 @@ def line_hashes(rows: DataFrame, kind: str) -> DataFrame:
     comparison with another implementation's."""
     lines = record_lines(rows, kind)
     return lines.select("stage", "id", F.sha2("line", 256).alias("line_sha256"), F.sha2(F.to_json(F.parse_json("line")), 256).alias("canonical_sha256"))
+
+
+def stages(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Tables as an export writes them: by stage, each type's own columns in their order, rows by id."""
+    out = {}
+    for kind, spec in SPECS.items():
+        if kind in tables:
+            known = [f.column for f in spec.fields if f.column in tables[kind].columns]
+            out[kind] = tables[kind].select(*known).orderBy("id")
+    return out
+
+
+def report(spark: SparkSession, file: bytes, plain: bytes, inner: bytes) -> tuple[dict[str, str], DataFrame]:
+    """Hashes by which two implementations compare an export, from outside in: the file, what it decrypts to, the payload
+    that this inflates to, and each of its record lines (stage, id, line_sha256, canonical_sha256)."""
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    lines = decode(inner).lines(spark)
+    hashes = lines.select("stage", "id", F.sha2("line", 256).alias("line_sha256"), F.sha2(F.to_json(F.parse_json("line")), 256).alias("canonical_sha256"))
+    return {"file": sha(file), "plain": sha(plain), "payload": sha(inner)}, hashes

@@ -54,3 +54,23 @@ def test_merge_batches(spark, sf_dir, tmp_path):
     query.stop()
     want = merge.next_state(local, remote, merge.decide(remote, local, "merge", "converge"))
     assert sorted(map(tuple, spark.read.parquet(now["path"]).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_merge_buckets(spark, sf_dir, tmp_path):
+    """Only touched buckets are rewritten; a batch that runs twice changes nothing more."""
+    local, remote = adapter.replica(spark, sf_dir, "local"), adapter.replica(spark, sf_dir, "remote")
+    path = str(tmp_path / "state")
+    upsert.write_buckets(local, path, 8)
+    run = upsert.merge_buckets(path, 8)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "state").rglob("*.parquet")}
+    one = remote.orderBy("id").limit(1)
+    run(one, 0)
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "state").rglob("*.parquet")}
+    changed = {p.parent.name for p in set(after.items()) ^ set(before.items()) for p in [p[0]]}
+    assert len(changed) == 1
+    parts = remote.union(remote.limit(20)).randomSplit([1.0, 1.0], seed=3)
+    for n, part in enumerate([*parts, parts[1]]):
+        run(part, n)
+    want = merge.next_state(local, remote, merge.decide(remote, local, "merge", "converge"))
+    assert sorted(map(tuple, upsert.read_buckets(spark, path).select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    run(remote.limit(0), 9)
