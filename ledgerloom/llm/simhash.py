@@ -22,7 +22,7 @@ BITS = 64
 SEED = 42
 #: Shingles that are hashed at once.
 CHUNK = 1 << 14
-#: Tasks that a component's members are dealt to when they get its smallest id.
+#: Tasks that a component's members are dealt to when they get what their root has.
 SPREAD = 32
 #: Texts a side that one task compares exactly.
 COMPARED = 1024
@@ -56,10 +56,20 @@ def simhash(text: str | None, width: int = 4) -> int:
     return majority(pieces, last.size)
 
 
-def word_simhash(text: str | None, least: int) -> int | None:
-    """The fingerprint of a text's distinct words; null if there are fewer than `least`."""
-    words = set(words_of(text))
-    return majority(iter(words), len(words)) if len(words) >= least else None
+def word_simhashes(text: str | None, least: int, count: int = 1) -> list[int] | None:
+    """`count` fingerprints of a text's distinct words, by different hashes; null if there are fewer than `least` words.
+    A hash of 128 bits gives two."""
+    words = list(set(words_of(text)))
+    if len(words) < least:
+        return None
+    found: list[int] = []
+    for seed in range(SEED, SEED + (count + 1) // 2):
+        counts = np.zeros(2 * BITS, np.int64)
+        for at in range(0, len(words), CHUNK):
+            part = b"".join([xxhash.xxh3_128_digest(w, seed) for w in words[at : at + CHUNK]])
+            counts += np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        found += np.packbits(2 * counts > len(words), bitorder="little").view("<u8").tolist()
+    return found[:count]
 
 
 def covering(radius: int, positions: list[int]) -> list[int]:
@@ -72,8 +82,9 @@ def signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def fingerprints(docs: DataFrame, width: int = 4, least_words: int | None = None) -> DataFrame:
-    """(doc_id, fp, words_fp, text_hash): the fingerprints' 64 bits as signed longs; words_fp is null without least_words."""
+def fingerprints(docs: DataFrame, width: int = 4, least_words: int | None = None, word_hashes: int = 1) -> DataFrame:
+    """(doc_id, fp, words_fp, text_hash): the fingerprints' 64 bits as signed longs; words_fp, one for each hash, is null
+    without least_words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,13 +92,13 @@ def fingerprints(docs: DataFrame, width: int = 4, least_words: int | None = None
             for x in batch.column(1):
                 text = x.as_py()
                 fps.append(signed(simhash(text, width)))
-                other = None if least_words is None else word_simhash(text, least_words)
-                words.append(None if other is None else signed(other))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(words, pa.int64()), batch.column(2)], ["doc_id", "fp", "words_fp", "text_hash"])
+                other = None if least_words is None else word_simhashes(text, least_words, word_hashes)
+                words.append(None if other is None else [signed(x) for x in other])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(words, pa.list_(pa.int64())), batch.column(2)], ["doc_id", "fp", "words_fp", "text_hash"])
 
     bound_batches(docs.sparkSession)
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(run, "doc_id long, fp long, words_fp long, text_hash long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(run, "doc_id long, fp long, words_fp array<long>, text_hash long")
 
 
 def forest(x: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
@@ -192,8 +203,9 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 
 
 def similar_links(words: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, radius: int, least: float) -> Iterator[tuple[int, int]]:
-    """Places (i, j) of links whose components are those of all similar pairs within the radius. Pairs that are joined
-    already aren't compared; if both sides 0 and 1 occur, only pairs across them are."""
+    """Places (i, j) of links whose components are those of all similar pairs of which some fingerprint (a column of words)
+    is within the radius. Pairs that are joined already aren't compared; if both sides 0 and 1 occur, only pairs across
+    them are."""
     up = list(range(len(sets)))
 
     def root(i: int) -> int:
@@ -203,7 +215,7 @@ def similar_links(words: np.ndarray, sets: list[np.ndarray], sides: np.ndarray,
 
     two = bool(sides.min() != sides.max())
     for i in range(len(sets) - 1):
-        near = np.bitwise_count(words[i + 1 :] ^ words[i]) <= radius
+        near = (np.bitwise_count(words[i + 1 :] ^ words[i]) <= radius).any(axis=1)
         if two:
             near &= sides[i + 1 :] != sides[i]
         for j in (np.flatnonzero(near) + i + 1).tolist():
@@ -213,19 +225,41 @@ def similar_links(words: np.ndarray, sets: list[np.ndarray], sides: np.ndarray,
                 yield i, j
 
 
-def verified_links(docs: DataFrame, fps: DataFrame, near: DataFrame, radius: int, least: float, width: int) -> DataFrame:
-    """Links (a, b) between fp of documents whose words_fp are within the radius and whose word shingles' exact Jaccard
-    similarity is at least `least`; near: links of words_fp whose components hold all such pairs.
+def spread_join(members: DataFrame, by_root: DataFrame, key: str) -> DataFrame:
+    """members (root, key, ...) with what by_root has for their root, a row a root. A large component's members share a
+    root: they are dealt to SPREAD tasks by their key, and each of those gets the root's row. Sorted and merged, as copies
+    of the rows would be broadcast by the size of one."""
+    rows = by_root.withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    dealt = members.withColumn("_spread", F.pmod(F.xxhash64(key), F.lit(SPREAD)).cast("int"))
+    return dealt.join(rows.hint("merge"), ["root", "_spread"]).drop("_spread")
+
+
+def word_links(texts: DataFrame, hashes: int, radius: int, most: int) -> DataFrame:
+    """Links (a, b) between text_hash of texts (words_fp, text_hash) whose components hold all pairs of which one of the
+    words' fingerprints is within the radius. Texts of one fingerprint link to the first of them."""
+    out = None
+    for i in range(hashes):
+        own = texts.select(F.element_at("words_fp", i + 1).alias("w"), "text_hash")
+        heads = staged(own.groupBy("w").agg(F.min("text_hash").alias("head")), "simhash-words")
+        near = near_links(heads.select(F.col("w").alias("fp")), radius, most)
+        head = lambda c, name: heads.select(F.col("w").alias(c), F.col("head").alias(name))  # noqa: B023, E731
+        near = near.join(head("a", "x"), "a").join(head("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        same = own.join(heads, "w").where("text_hash <> head").select(F.col("text_hash").alias("a"), F.col("head").alias("b"))
+        part = near.unionByName(same)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def verified_links(docs: DataFrame, texts: DataFrame, near: DataFrame, radius: int, least: float, width: int) -> DataFrame:
+    """Links (a, b) between fp of texts (words_fp, fp, text_hash) of which one of the words' fingerprints is within the
+    radius and whose word shingles' exact Jaccard similarity is at least `least`; near: word_links().
 
     A component's distinct texts are compared in blocks of about COMPARED on a side, so a large component is many
     groups. Texts are reduced to their shingles' hashes where they are scanned.
     """
-    texts = fps.where("words_fp is not null").select("words_fp", "fp", "text_hash").distinct()
-    roots = components(near)
-    places = texts.join(roots, F.col("words_fp") == F.col("node"), "left").select("words_fp", "fp", "text_hash", F.coalesce("root", "words_fp").alias("root"))
-    places = staged(places, "simhash-places")
+    places = staged(texts.join(components(near), F.col("text_hash") == F.col("node")).select("words_fp", "fp", "text_hash", "root"), "simhash-places")
     sizes = places.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root", F.ceil(F.col("n") / COMPARED).cast("int").alias("parts"))
-    places = staged(places.join(sizes, "root"), "simhash-places")
+    places = staged(spread_join(places, sizes, "text_hash"), "simhash-places")
     hashed = docs.select(F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
     wanted = staged(places.select("text_hash").distinct(), "simhash-wanted")
 
@@ -242,7 +276,7 @@ def verified_links(docs: DataFrame, fps: DataFrame, near: DataFrame, radius: int
     dealt = dealt.select("root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") > F.col("other")).cast("int").alias("side"), "words_fp", "fp", "shingles")
 
     def compare(t: pa.Table) -> pa.Table:
-        fp, words = t["fp"].to_numpy(), t["words_fp"].to_numpy().view(np.uint64)
+        fp, words = t["fp"].to_numpy(), t["words_fp"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(t.num_rows, -1)
         held = t["shingles"].combine_chunks()
         cuts, flat = held.offsets.to_numpy(), held.values.to_numpy().view(np.uint64)
         found = list(similar_links(words, [flat[a:b] for a, b in zip(cuts, cuts[1:])], t["side"].to_numpy(), radius, least))
@@ -251,36 +285,35 @@ def verified_links(docs: DataFrame, fps: DataFrame, near: DataFrame, radius: int
     return dealt.groupBy("root", "low", "high").applyInArrow(compare, "a long, b long").where("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, most: int = BUCKET, words_radius: int | None = None, least_words: int = 16, least_similar: float | None = None, similar_width: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, most: int = BUCKET, words_radius: int | None = None, least_words: int = 16, word_hashes: int = 1, least_similar: float | None = None, similar_width: int = 5) -> DataFrame:
     """Every row's doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that links reach.
 
-    With words_radius, documents of at least least_words distinct words also link if the fingerprints of their distinct
-    words differ in at most that many bits. A changed word spoils `width` shingles but one word, so this finds copies
-    with more changes. With least_similar only those pairs link whose shingles of similar_width words have that
-    Jaccard similarity or more; every pair within the bits is looked at, unless others join it already.
+    With words_radius, documents of at least least_words distinct words also link if one of word_hashes fingerprints of
+    their distinct words differs in at most that many bits. A changed word spoils `width` shingles but one word, so this
+    finds copies with more changes; with several hashes chance misses fewer. With least_similar only those pairs link
+    whose shingles of similar_width words have that Jaccard similarity or more; every pair within the bits is looked at,
+    unless others join it already.
 
     Null, empty and blank texts have fingerprint zero and link like others. Rows without doc_id keep a row, and count
     for a component_id only if no member has one (then it is null). Repeated rows each keep theirs; an empty table
-    gives an empty result. Other columns are not read.
+    gives an empty result; other columns, whatever their names, are not read.
     """
-    fps = staged(fingerprints(docs, width, None if words_radius is None else least_words), "simhash")
+    fps = staged(fingerprints(docs, width, None if words_radius is None else least_words, word_hashes), "simhash")
     classes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     links = near_links(classes.select("fp"), radius, most)
     if words_radius is not None:
-        pairs = staged(fps.where("words_fp is not null").groupBy("words_fp").agg(F.min("fp").alias("head")), "simhash-words")
-        near = near_links(pairs.select(F.col("words_fp").alias("fp")), words_radius, most)
+        texts = staged(fps.where("words_fp is not null").select("words_fp", "fp", "text_hash").distinct(), "simhash-texts")
+        near = word_links(texts, word_hashes, words_radius, most)
         if least_similar is not None:
-            links = links.unionByName(verified_links(docs, fps, near, words_radius, least_similar, similar_width))
-    if words_radius is not None and least_similar is None:
-        same = fps.where("words_fp is not null").select("words_fp", "fp").distinct().join(pairs, "words_fp").where("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
-        heads = pairs.select(F.col("words_fp").alias("w"), "head")
-        near = near.join(heads, F.col("a") == F.col("w")).select(F.col("head").alias("x"), "b").join(heads, F.col("b") == F.col("w")).select(F.col("x").alias("a"), F.col("head").alias("b"))
-        links = links.unionByName(same).unionByName(near)
+            more = verified_links(docs, texts, near, words_radius, least_similar, similar_width)
+        else:
+            fp_of = lambda c, name: texts.select(F.col("text_hash").alias(c), F.col("fp").alias(name))
+            more = near.join(fp_of("a", "x"), "a").join(fp_of("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b")
+        links = links.unionByName(more)
     roots = components(links).withColumnRenamed("node", "fp")
     linked = staged(classes.join(roots, "fp"), "simhash-linked")
-    # a large component's members share a root: they are dealt to SPREAD tasks, and each gets the component's least
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    members = linked.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(SPREAD)).cast("int")).join(least.hint("merge"), ["root", "part"]).select("fp", "component_id")
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    members = spread_join(linked, least, "fp").select("fp", "component_id")
     alone = classes.join(roots, "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
     by_fp = members.unionByName(alone)
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
