@@ -17,9 +17,8 @@ from ledgerloom.llm import langid, mixing, packing, secrets, simhash
 from ledgerloom.llm.common import clear, made, staged_at
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Bits in which near duplicates' distinct-word fingerprints may differ. On the test documents that finds 74 % of the
-#: pairs whose five-word shingles have a Jaccard similarity of 0.8 or more.
-WORDS_RADIUS = 5
+#: Bits in which one of so many fingerprints of near duplicates' distinct words may differ.
+WORDS_RADIUS, WORD_HASHES = 4, 4
 #: Least exact Jaccard similarity of five-word shingles of documents that link by their distinct words.
 SIMILAR = 0.8
 #: Includes a tokenizer; no SQL can express it.
@@ -40,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     apart and stay. An id that several rows have goes only if none of them is its group's smallest.
     """
     rows = docs.select(*COLUMNS)
-    found = simhash.near_duplicates(rows, words_radius=WORDS_RADIUS, least_similar=SIMILAR).where("doc_id is not null")
+    found = simhash.near_duplicates(rows, words_radius=WORDS_RADIUS, word_hashes=WORD_HASHES, least_similar=SIMILAR).where("doc_id is not null")
     gone = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first")).where("not first")
     return rows.join(gone.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
 
