@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.crypto import TAG_BYTES, gcm_open, gcm_seal
+from ledgerloom.functions.crypto import TAG_BYTES, gcm_open, gcm_seal, password_hash_fits
 
 #: Magic, sizes, flags and algorithm numbers.
 MAGIC = b"PFBOOK\x01\x00"
@@ -51,7 +51,7 @@ class BadHeader(ContainerError):
 
 
 class OddParameters(ContainerError):
-    """Algorithms, flags or key parameters that no writer of this format sets."""
+    """Parameters of the password hash that no writer of this format sets."""
 
     failure = "odd_parameters"
 
@@ -92,12 +92,14 @@ class Header:
         magic, version, least, flags, kdf, aead, kib, passes, lanes, out, salt_n, prefix_n, chunk_kib, plain, count, crc, salt, prefix, first, volume_set, volume, volumes, digest = struct.unpack(LAYOUT, data[:HEADER])
         if magic != MAGIC:
             raise NotAContainer("not a container")
-        if version > VERSION or least > VERSION:
-            raise NewerFormat("a newer format")
         if crc != zlib.crc32(data[: FIXED - 4]):
             raise BadHeader("header checksum")
+        if version > VERSION or least > VERSION:
+            raise NewerFormat("a newer format")
         if (kdf, aead, out, salt_n, prefix_n) != (KDF_ARGON2ID, AEAD_AES256GCM, 32, 16, 8) or flags & ~63 or not flags & AESGCM:
-            raise OddParameters("unknown algorithms or flags")
+            raise BadHeader("unknown algorithms or flags")
+        if not password_hash_fits(kib, passes, lanes):
+            raise OddParameters("password hash parameters out of bounds")
         if first != prefix + bytes(4):
             raise BadHeader("first nonce")
         return cls(salt, prefix, plain, count, flags, kib, passes, lanes, chunk_kib, volume_set, volume, volumes, digest, version, least)
