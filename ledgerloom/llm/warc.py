@@ -94,15 +94,18 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = 8192, chunk
 
     Of the rows with equal payloads, those with the largest page_id are responses, the others revisits that name it;
     rows without page_id count as smaller than any. A null html is an empty payload. Blocks of over segment_bytes are
-    cut into a response and continuation records. Only the digest and page_id are aggregated; a payload that a third
-    of the rows share is a skewed join key, which adaptive execution splits. Repeated page_ids are records of their own;
+    cut into a response and continuation records. Only the digest and page_id are aggregated; pages meet the digests that
+    several have, in a broadcast where those are few; where they are many, a payload that a third of the rows share is a
+    skewed join key, which adaptive execution splits. Repeated page_ids are records of their own;
     an empty table gives no records; other columns, whatever their names, are not read.
     """
     bound_batches(pages.sparkSession)
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"), F.monotonically_increasing_id().alias("row_key"))
     base = base.withColumn("digest", F.unhex(F.sha1("payload")))
-    keep = base.groupBy("digest").agg(F.max("page_id").alias("refers_to"))
-    rows = base.join(keep, "digest").select("page_id", "url", "payload", "row_key", "refers_to", (~F.col("page_id").eqNullSafe(F.col("refers_to"))).alias("revisit"))
+    shared = base.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
+    shared = staged(shared.select(F.col("digest").alias("d"), "refers_to"), "warc-shared")
+    revisit = F.col("d").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
+    rows = base.join(shared, F.col("digest") == F.col("d"), "left").select("page_id", "url", "payload", "row_key", "refers_to", revisit.alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
