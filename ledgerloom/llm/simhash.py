@@ -24,6 +24,8 @@ SEED = 42
 CHUNK = 1 << 14
 #: Tasks that a component's members are dealt to when they get what their root has.
 SPREAD = 32
+#: Texts of a large component that all others of it are compared with first.
+PIVOTS = 8
 #: Texts a side that one task compares exactly.
 COMPARED = 1024
 #: Members of a bucket that one task holds; larger buckets are covered again on the bits that their mask leaves free.
@@ -254,8 +256,9 @@ def verified_links(docs: DataFrame, texts: DataFrame, near: DataFrame, radius: i
     """Links (a, b) between fp of texts (words_fp, fp, text_hash) of which one of the words' fingerprints is within the
     radius and whose word shingles' exact Jaccard similarity is at least `least`; near: word_links().
 
-    A component's distinct texts are compared in blocks of about COMPARED on a side, so a large component is many
-    groups. Texts are reduced to their shingles' hashes where they are scanned.
+    A component's distinct texts are compared in blocks of about COMPARED on a side. Those of a larger component first
+    meet PIVOTS of them: whatever links to one pivot is joined by that, so that of the largest such cluster only pairs with
+    the texts outside it are left to compare. Texts are reduced to their shingles' hashes where they are scanned.
     """
     places = staged(texts.join(components(near), F.col("text_hash") == F.col("node")).select("words_fp", "fp", "text_hash", "root"), "simhash-places")
     sizes = places.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root", F.ceil(F.col("n") / COMPARED).cast("int").alias("parts"))
@@ -270,10 +273,19 @@ def verified_links(docs: DataFrame, texts: DataFrame, near: DataFrame, radius: i
 
     sets = hashed.join(wanted, "text_hash", "left_semi").mapInArrow(cut, "text_hash long, shingles array<long>")
     sets = staged(sets, "simhash-sets").dropDuplicates(["text_hash"])
-    part = F.pmod(F.xxhash64("text_hash"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    dealt = places.withColumn("part", part).select("*", other).join(sets, "text_hash")
-    dealt = dealt.select("root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") > F.col("other")).cast("int").alias("side"), "words_fp", "fp", "shingles")
+    held = staged(places.join(sets, "text_hash"), "simhash-held")
+    hits, most = pivot_hits(held.where("parts > 1"), radius, least)
+    stars = hits.select("fp", F.explode("hits").alias("hit")).select(F.col("fp").alias("a"), F.col("hit.fp").alias("b")).where("a <> b").distinct()
+    # parts of what is outside the largest cluster come first, then the cluster's, whose texts meet only the former
+    outside, inside = F.ceil(F.col("outside") / COMPARED).cast("int"), F.ceil(F.col("inside") / COMPARED).cast("int")
+    dealing = spread_join(hits.drop("fp"), most.where("outside > 0").select("root", "pivot", outside.alias("first"), inside.alias("second")), "text_hash")
+    at_home = F.exists("hits", lambda h: h["pivot"] == F.col("pivot"))
+    place = F.xxhash64("text_hash")
+    dealing = dealing.select("text_hash", F.when(at_home, F.col("first") + F.pmod(place, F.col("second"))).otherwise(F.pmod(place, F.col("first"))).cast("int").alias("part"), F.when(at_home, F.col("first")).otherwise(F.col("first") + F.col("second")).alias("meets"))
+    large = held.join(dealing, "text_hash").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)))
+    small = held.where("parts = 1").withColumn("part", F.lit(0)).withColumn("other", F.lit(0))
+    columns = ["root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") > F.col("other")).cast("int").alias("side"), "words_fp", "fp", "shingles"]
+    dealt = small.select(*columns).unionByName(large.select(*columns))
 
     def compare(t: pa.Table) -> pa.Table:
         fp, words = t["fp"].to_numpy(), t["words_fp"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(t.num_rows, -1)
@@ -282,7 +294,42 @@ def verified_links(docs: DataFrame, texts: DataFrame, near: DataFrame, radius: i
         found = list(similar_links(words, [flat[a:b] for a, b in zip(cuts, cuts[1:])], t["side"].to_numpy(), radius, least))
         return pa.table({"a": pa.array([int(fp[i]) for i, _ in found], pa.int64()), "b": pa.array([int(fp[j]) for _, j in found], pa.int64())})
 
-    return dealt.groupBy("root", "low", "high").applyInArrow(compare, "a long, b long").where("a <> b").distinct()
+    return dealt.groupBy("root", "low", "high").applyInArrow(compare, "a long, b long").where("a <> b").unionByName(stars).distinct()
+
+
+def pivot_hits(held: DataFrame, radius: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """From texts of large components, held (root, text_hash, words_fp, fp, shingles): (root, text_hash, fp, hits), the hits
+    being (pivot, fp) of the component's pivots that a text links to; and (root, pivot, inside, outside), the pivot with the
+    most hits and how many texts it has and hasn't. Pivots are the smallest hashes of PIVOTS classes of them."""
+    few = held.groupBy("root", F.pmod("text_hash", F.lit(PIVOTS)).alias("c")).agg(F.min("text_hash").alias("text_hash")).select("root", "text_hash")
+    names = ["root", "text_hash", "fp", "words_fp", "shingles"]
+    few = held.join(few, ["root", "text_hash"]).select(F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"), F.lit(0).alias("kind"), *names)
+    rows = few.unionByName(held.select(F.pmod(F.xxhash64("text_hash"), F.lit(SPREAD)).cast("int").alias("part"), F.lit(1).alias("kind"), *names))
+    # a task reads a part's pivots and then its texts
+    rows = rows.repartition("root", "part").sortWithinPartitions("root", "part", "kind", "text_hash")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, pivots = None, []
+        for batch in batches:
+            out, keep = [], np.flatnonzero(batch.column(1).to_numpy() == 1)
+            for part, kind, root, name, fp, words, own in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5), batch.column(6)):
+                words, own = words.values.to_numpy().view(np.uint64), own.values.to_numpy().view(np.uint64)
+                if (root, part) != key:
+                    key, pivots = (root, part), []
+                if kind == 0:
+                    pivots.append((name, fp, words, own))
+                    continue
+                near = [(n, f, x) for n, f, w, x in pivots if (np.bitwise_count(words ^ w) <= radius).any()]
+                out.append([{"pivot": n, "fp": f} for n, f, x in near if similar(own, x, least)])
+            hits = pa.array(out, pa.list_(pa.struct([("pivot", pa.int64()), ("fp", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(keep)) for i in (2, 3, 4)), hits], ["root", "text_hash", "fp", "hits"])
+
+    hits = rows.mapInArrow(run, "root long, text_hash long, fp long, hits array<struct<pivot: long, fp: long>>")
+    hits = staged(hits, "simhash-hits")
+    by_pivot = hits.select("root", F.explode("hits").alias("h")).groupBy("root", F.col("h.pivot").alias("pivot")).agg(F.count("*").alias("inside"))
+    best = by_pivot.groupBy("root").agg(F.max(F.struct("inside", "pivot")).alias("best"))
+    most = hits.groupBy("root").agg(F.count("*").alias("n")).join(best, "root")
+    return hits, staged(most.select("root", "best.pivot", "best.inside", (F.col("n") - F.col("best.inside")).alias("outside")), "simhash-most")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, most: int = BUCKET, words_radius: int | None = None, least_words: int = 16, word_hashes: int = 1, least_similar: float | None = None, similar_width: int = 5) -> DataFrame:

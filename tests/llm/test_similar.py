@@ -101,3 +101,23 @@ def test_recall_of_similar_pairs(spark):
     caught = sum(group[rows[i][0]] == group[rows[j][0]] for i, j in close)
     print("pairs", len(close), "caught", caught)
     assert len(close) > 50 and caught >= 0.9 * len(close)
+
+
+def test_one_large_group_is_linear(spark, monkeypatch):
+    """Copies of one text meet the pivots and nothing else; a few texts outside their cluster meet all of it."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(300):
+        other = list(words)
+        for j in rng.sample(range(400), 3):
+            other[j] = f"n{i}x{j}"
+        rows.append((i, " ".join(other)))
+    rows += [(300 + k, " ".join(words[20 * k :] + [f"tail{k}x{j}" for j in range(20 * k)])) for k in range(6)]
+    monkeypatch.setattr(simhash, "COMPARED", 8)
+    seen = []
+    inner = simhash.pivot_hits
+    monkeypatch.setattr(simhash, "pivot_hits", lambda *a: (seen.append(inner(*a)) or seen[-1]))
+    assert kept(spark, rows) == survivors(rows)
+    (most,) = [r for r in seen[0][1].collect() if r["inside"] + r["outside"] > 100]
+    assert most["inside"] >= 200
