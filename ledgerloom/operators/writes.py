@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.balance import delta, legs
+from ledgerloom.operators.balance import legs
 from ledgerloom.operators.checks import parent_errors, reference_violations, shape_error
 
 
@@ -66,13 +66,16 @@ def balance_change(accounts: DataFrame, before: DataFrame, after: DataFrame, txn
     """(id, cached_balance_minor, balance_as_of): the accounts' cached balances moved by what the change of transactions
     does. Accounts that it touches, even by nothing, get the time of their last live transaction, which may go back;
     txns are all transactions after the change (None: `after` has them all)."""
-    moved = delta(before, after).withColumnRenamed("delta", "_delta")
-    touched = legs(before).select("account_id").unionByName(legs(after).select("account_id")).distinct()
-    last = legs(after if txns is None else txns).join(touched, "account_id", "left_semi").groupBy("account_id").agg(F.max("occurred_at").alias("_last"))
-    as_of = touched.join(last, "account_id", "left").select(F.col("account_id").alias("id"), F.coalesce("_last", F.lit(0)).alias("_as_of"))
+    gone = legs(before).select("account_id", (-F.col("delta")).alias("delta"), F.lit(None).cast("long").alias("at"))
+    new = legs(after, strict=True).select("account_id", "delta", F.col("occurred_at").alias("at"))
+    moved = gone.unionByName(new).groupBy(F.col("account_id").alias("_id")).agg(F.sum("delta").alias("_delta"), F.max("at").alias("_last"))
+    if txns is not None:
+        last = legs(txns).join(moved.select(F.col("_id").alias("account_id")), "account_id", "left_semi").groupBy(F.col("account_id").alias("_id")).agg(F.max("occurred_at").alias("_last"))
+        moved = moved.drop("_last").join(last, "_id", "left")
     old = F.col("balance_as_of") if "balance_as_of" in accounts.columns else F.lit(0).cast("long")
-    rows = accounts.join(moved, "id", "left").join(as_of, "id", "left")
-    return rows.select("id", (F.col("cached_balance_minor") + F.coalesce("_delta", F.lit(0))).alias("cached_balance_minor"), F.coalesce("_as_of", old).alias("balance_as_of"))
+    rows = accounts.join(moved, F.col("id") == F.col("_id"), "left")
+    as_of = F.when(F.col("_id").isNotNull(), F.coalesce("_last", F.lit(0))).otherwise(old)
+    return rows.select("id", (F.col("cached_balance_minor") + F.coalesce("_delta", F.lit(0))).alias("cached_balance_minor"), as_of.alias("balance_as_of"))
 
 
 def create_ledgers(state: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
