@@ -36,10 +36,10 @@ def test_empty_payload_is_the_known_one():
 def test_sample_balances(spark):
     t = seed.sample(spark)
     cached = balance.apply_balances(t["account"], t["txn"])
-    assert {r["id"]: r["cached_balance_minor"] for r in cached.collect()} == {"A1": 337150, "A2": 50000}
-    assert balance.net_worth(cached).first()[0] == 387150
+    assert {r["id"]: r["cached_balance_minor"] for r in cached.collect()} == {"A1": 165275, "A2": 30000}
+    assert balance.net_worth(cached).first()[0] == 195275
     s = balance.summary(t["txn"]).first()
-    assert (s["income_minor"], s["expense_minor"], s["transfer_minor"]) == (300000, 12850, 50000)
+    assert (s["income_minor"], s["expense_minor"], s["transfer_minor"]) == (120000, 4725, 30000)
 
 
 def test_round_trip(spark, tmp_path):
@@ -105,7 +105,7 @@ def test_repairs_and_guards(spark):
         lambda x: [*x, x[1]],
         lambda x: [x[0], b"", *x[1:]],
         lambda x: [x[0], x[0], *x[1:]],
-        lambda x: [x[0], x[1].replace(b"Daily", b"Dally"), *x[2:]],
+        lambda x: [x[0], x[1].replace(b"Household", b"Housebold"), *x[2:]],
         lambda x: [x[0].replace(b'"full"', b'"ledger"'), *x[1:]],
         lambda x: [x[0].replace(b'"payloadVersion":1', b'"payloadVersion":2'), *x[1:]],
         lambda x: [x[0].replace(b'"ledger":1', b'"ledger":2'), *x[1:]],
@@ -142,14 +142,14 @@ def test_records_set_only_the_columns_that_they_carry(spark):
         state, report = importer.apply_import(tables, records, importer.Options(strategy=strategy, now_ms=9))
         assert sum(c["skipped"] for c in report.counters.values()) == 8 and report.conflicts.isEmpty()
         assert seed.differences({k: tables[k] for k in tables if k != "account"}, {k: state[k] for k in state if k != "account"}) == []
-        assert {r["id"]: (r["cached_balance_minor"], r["note"]) for r in state["account"].collect()} == {"A1": (337150, "mine"), "A2": (50000, "mine")}
+        assert {r["id"]: (r["cached_balance_minor"], r["note"]) for r in state["account"].collect()} == {"A1": (165275, "mine"), "A2": (30000, "mine")}
     later = {"txn": records["txn"].withColumns({"amount_minor": F.col("amount_minor") + 5, "updated_at": F.col("updated_at") + 100_000})}
     state, report = importer.apply_import(tables, later, importer.Options(strategy="converge", now_ms=9))
     assert report.counters["txn"]["updated"] == 3
     assert {(r["merchant"], r["note"] == r["id"], r["source_import_job"]) for r in state["txn"].collect()} == {("shop", True, "job-0")}
     new = {"account": records["account"].withColumn("id", F.concat("id", F.lit("x"))).withColumn("cached_balance_minor", F.lit(99).cast("long"))}
     state, _ = importer.apply_import(tables, new, importer.Options(now_ms=9))
-    assert {r["id"]: (r["note"], r["cached_balance_minor"], r["balance_as_of"]) for r in state["account"].collect() if r["id"].endswith("x")} == {"A1x": (None, 100_000, 0), "A2x": (None, 0, 0)}
+    assert {r["id"]: (r["note"], r["cached_balance_minor"], r["balance_as_of"]) for r in state["account"].collect() if r["id"].endswith("x")} == {"A1x": (None, 80_000, 0), "A2x": (None, 0, 0)}
 
 
 def test_repair_comes_before_the_decisions(spark):
@@ -174,7 +174,7 @@ def test_repair_comes_before_the_decisions(spark):
     assert report.placeholders == 4 and [(r["entity"], r["record_id"], r["column"], r["kind"]) for r in report.fixes.collect()] == [("account", "A2", "repay_account_id", "placeholder_account"), ("budget", "B1", "category_id", "placeholder_category"), ("txn", "T9", "account_id", "placeholder_account"), ("txn", "T9", "category_id", "placeholder_category")]
     job = importer.job_record(spark, "j", "f", report, importer.Options(), 1, 1).first()
     assert (job["inserted"], job["updated"], job["removed"]) == (6, 1, 0)
-    assert state["account"].where("id = 'LOST'").first()["cached_balance_minor"] == 300_000
+    assert state["account"].where("id = 'LOST'").first()["cached_balance_minor"] == 120_000
 
 
 def test_removals_reach_tables_that_the_file_lacks(spark):
