@@ -28,6 +28,8 @@ SPREAD = 32
 PIVOTS = 8
 #: Texts a side that one task compares exactly.
 COMPARED = 1024
+#: Times that links within the buckets are merged.
+MERGES = 3
 #: Members of a bucket that one task holds; larger buckets are covered again on the bits that their mask leaves free.
 BUCKET = 1 << 16
 
@@ -119,8 +121,24 @@ def forest(x: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
 LINKS = "a long, b long, over int"
 
 
+def starred(rows: DataFrame) -> DataFrame:
+    """From (a, bs array): links (a, b) that join what links of a to all its bs do: a's to the smallest, and the others' to
+    it, which are the same for many a."""
+    each = rows.select("a", F.array_min("bs").alias("least"), F.explode("bs").alias("b"))
+    return each.select(F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b")).where("a <> b")
+
+
+def merged(links: DataFrame, times: int = 1) -> DataFrame:
+    """Distinct links (a, b) with the components of those given, and fewer of them. An a's links are gathered by a, so they
+    must be few; a b may have any number."""
+    for _ in range(times):
+        links = starred(links.groupBy("a").agg(F.collect_set("b").alias("bs")))
+    return links.distinct()
+
+
 def bucket_links(batches: Iterator[pa.RecordBatch], radius: int, most: int | None) -> Iterator[pa.RecordBatch]:
-    """From rows (tbl int, key long, fp long) sorted by tbl and key: links (a, b, over null) within the buckets.
+    """From rows (tbl int, key long, fp long) sorted by tbl and key: links (a, b, over null) within the buckets, b being the
+    smallest of what the bucket joins a to.
 
     The members of a bucket of more than `most` come out as (fp, null, tbl) instead, as they are read.
     """
@@ -135,9 +153,11 @@ def bucket_links(batches: Iterator[pa.RecordBatch], radius: int, most: int | Non
 
     def close() -> None:
         if held and not spilling:
-            x = np.concatenate(held)
-            if x.size > 1:
-                out.extend((a, b, None) for a, b in forest(x, radius))
+            x = np.sort(np.concatenate(held).view(np.int64)).view(np.uint64)
+            least: dict[int, int] = {}
+            for a, b in forest(x, radius):  # a tree comes after the other, from its smallest on
+                least[b] = least.get(a, a)
+            out.extend((a, b, None) for a, b in least.items())
 
     for batch in batches:
         if not batch.num_rows:
@@ -167,7 +187,11 @@ def bucket_links(batches: Iterator[pa.RecordBatch], radius: int, most: int | Non
 def near_links(distinct: DataFrame, radius: int = 4, most: int = BUCKET) -> DataFrame:
     """Links (a, b) between fingerprints of the one-column frame distinct (fp) whose components are those of all pairs
     within the radius. A bucket of over `most` fingerprints is covered again on its free bits, at most 16 of 32 of
-    which stay free (radius 4), so no second bucket has more than 65,536 members (2^17 for radius 5)."""
+    which stay free (radius 4), so no second bucket has more than 65,536 members (2^17 for radius 5).
+
+    A fingerprint has a link for every mask, to the smallest that its bucket joins it to. merged() leaves about one link a
+    fingerprint of these, whatever the size of its group. It gathers a link a mask at first, then for the smallest of a
+    bucket one for each other smallest that the bucket's members know, at most."""
     masks = covering(radius, list(range(BITS)))
     rows = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("tbl", "key"))
 
@@ -186,7 +210,7 @@ def near_links(distinct: DataFrame, radius: int = 4, most: int = BUCKET) -> Data
         over = first.where("over is not null").select(F.col("a").alias("fp"), "over", F.posexplode(F.element_at(F.array(*again), F.col("over") + 1)).alias("sub", "mask"))
         second = over.select((F.col("over") * many + F.col("sub")).cast("int").alias("tbl"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
         links = links.unionByName(linked(second, None).select("a", "b"))
-    return links.distinct()
+    return merged(links, MERGES)
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -238,7 +262,8 @@ def spread_join(members: DataFrame, by_root: DataFrame, key: str) -> DataFrame:
 
 def word_links(texts: DataFrame, hashes: int, radius: int, most: int) -> DataFrame:
     """Links (a, b) between text_hash of texts (words_fp, text_hash) whose components hold all pairs of which one of the
-    words' fingerprints is within the radius. Texts of one fingerprint link to the first of them."""
+    words' fingerprints is within the radius. Texts of one fingerprint link to the first of them. A text has a link or so
+    for each hash; merged() leaves about one."""
     out = None
     for i in range(hashes):
         own = texts.select(F.element_at("words_fp", i + 1).alias("w"), "text_hash")
@@ -249,7 +274,7 @@ def word_links(texts: DataFrame, hashes: int, radius: int, most: int) -> DataFra
         same = own.join(heads, "w").where("text_hash <> head").select(F.col("text_hash").alias("a"), F.col("head").alias("b"))
         part = near.unionByName(same)
         out = part if out is None else out.unionByName(part)
-    return out
+    return merged(out)
 
 
 def verified_links(docs: DataFrame, texts: DataFrame, near: DataFrame, radius: int, least: float, width: int) -> DataFrame:
@@ -275,7 +300,7 @@ def verified_links(docs: DataFrame, texts: DataFrame, near: DataFrame, radius: i
     sets = staged(sets, "simhash-sets").dropDuplicates(["text_hash"])
     held = staged(places.join(sets, "text_hash"), "simhash-held")
     hits, most = pivot_hits(held.where("parts > 1"), radius, least)
-    stars = hits.select("fp", F.explode("hits").alias("hit")).select(F.col("fp").alias("a"), F.col("hit.fp").alias("b")).where("a <> b").distinct()
+    stars = starred(hits.select(F.col("fp").alias("a"), F.col("hits.fp").alias("bs")))
     # parts of what is outside the largest cluster come first, then the cluster's, whose texts meet only the former
     outside, inside = F.ceil(F.col("outside") / COMPARED).cast("int"), F.ceil(F.col("inside") / COMPARED).cast("int")
     dealing = spread_join(hits.drop("fp"), most.where("outside > 0").select("root", "pivot", outside.alias("first"), inside.alias("second")), "text_hash")
